@@ -32,6 +32,7 @@ FOLD_BYTES = 48
 #: Pieces that a task remembers at most; then it starts anew.
 REMEMBER = 400_000
 _PRIME = 4294967291
+_EMPTY = 1 << 62
 
 
 @lru_cache(4)
@@ -61,13 +62,13 @@ def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, int]:
         groups: dict[int, list[int]] = {}
         for i, k in enumerate(keys):
             groups.setdefault(k % buckets, []).append(i)
-        table, shift, rng, ok = np.full(slots, -1, np.int64), np.zeros(buckets, np.int64), np.random.default_rng(multiplier), True
+        table, shift, rng, ok = np.full(slots, _EMPTY, np.int64), np.zeros(buckets, np.int64), np.random.default_rng(multiplier), True
         for bucket, members in sorted(groups.items(), key=lambda g: -len(g[1])):
             home = [keys[i] * multiplier % _PRIME for i in members]
             for _ in range(2000):
                 d = int(rng.integers(slots))
                 at = [(h + d) % slots for h in home]
-                if len(set(at)) == len(at) and all(table[x] < 0 for x in at):
+                if len(set(at)) == len(at) and all(table[x] == _EMPTY for x in at):
                     break
             else:
                 ok = False
@@ -86,30 +87,38 @@ def _literal(values, kind: str) -> Column:
 
 
 def fold_merges(pieces: Column, path: str) -> Column:
-    """array<array<smallint>> (bytes of pieces) -> array<array<int>> (token ids), by folding ranked merges."""
+    """array<array<smallint>> (bytes of pieces) -> array<array<bigint>> (token ids), by folding ranked merges."""
     ranks = load_ranks(path)
     shift, table, multiplier = rank_map(path)
-    single = _literal([ranks[bytes([i])] for i in range(256)], "int")
+    single = _literal([ranks[bytes([i])] for i in range(256)], "bigint")
     shifts, slots = _literal(shift.tolist(), "int"), _literal(table.tolist(), "bigint")
     buckets, size = len(shift), len(table)
 
+    none = 65536
+
     def rank_of(a: Column, b: Column) -> Column:
-        key = a.cast("bigint") * F.lit(65536) + b.cast("bigint")
+        """The rank, or 65536: a slot of another pair differs from the key in its upper bits."""
+        key = a * F.lit(65536) + b
         entry = F.get(slots, ((key * F.lit(multiplier) % F.lit(_PRIME) + F.get(shifts, (key % F.lit(buckets)).cast("int"))) % F.lit(size)).cast("int"))
-        return F.when(F.shiftright(entry, 16) == key, entry.bitwiseAND(F.lit(65535)))
+        return F.least(entry.bitwiseXOR(key * F.lit(65536)), F.lit(none).cast("bigint"))
+
+    def bound(value: Column, body) -> Column:
+        """``body`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def merge(ids: Column, best: Column) -> Column:
+        at = (best % F.lit(65536)).cast("int")
+        return F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 16)), F.slice(ids, at + F.lit(3), F.size(ids)))
 
     def step(acc: Column, _: Column) -> Column:
         ids = acc["ids"]
-        left = F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))
         # rank * 65536 + position: the least rank, leftmost first
-        best = F.array_min(F.transform(left, lambda a, i: rank_of(a, F.get(ids, i + 1)) * F.lit(65536) + i))
-        at = (best % F.lit(65536)).cast("int")
-        merged = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 16).cast("int")), F.slice(ids, at + 3, F.size(ids)))
-        best_known = F.when(best.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("ids"), F.lit(False).alias("done")))
-        return F.when(acc["done"], acc).otherwise(best_known)
+        ranked = F.transform(F.slice(ids, F.lit(1), F.size(ids) - F.lit(1)), lambda a, i: rank_of(a, F.get(ids, i + F.lit(1))) * F.lit(65536) + i)
+        merged = bound(F.array_min(ranked), lambda best: F.when(best < F.lit(none << 16), F.struct(merge(ids, best).alias("ids"), F.lit(True).alias("more"))).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more"))))
+        return F.when(acc["more"] & (F.size(ids) > F.lit(1)), merged).otherwise(acc)
 
     def encode(piece: Column) -> Column:
-        start = F.struct(F.transform(piece, lambda b: F.get(single, b.cast("int"))).alias("ids"), F.lit(False).alias("done"))
+        start = F.struct(F.transform(piece, lambda b: F.get(single, b.cast("int"))).alias("ids"), F.lit(True).alias("more"))
         return F.aggregate(piece, start, step, lambda acc: acc["ids"])
 
     return F.transform(pieces, encode)
