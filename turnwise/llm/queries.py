@@ -36,6 +36,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_media(media.to_media(table(spark, sf_dir, "documents"))))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import substrings
+
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import pii
 
@@ -46,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op4_media_columns": op4_media_columns,
+        "op5_substring_dedup": op5_substring_dedup,
         "op9_pii": op9_pii,
     }
 
