@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import columns, partitions_for, windows_of, words_of
+from turnwise.llm.common import columns, partitions_for, size_in_bytes, windows_of, words_of
 
 _M = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -75,8 +75,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = width // 2
     size = partitions_for(docs, 4 * chunk_bytes)
     parts = min(size, max_partitions)
-    chunks = max(4 * parts, 4 * size)
-    bits = max(6, math.ceil(math.log2(4 * parts)))
+    chunks = max(2 * parts, math.ceil(size_in_bytes(docs) / chunk_bytes))
+    bits = max(4, math.ceil(math.log2(2 * parts)))  # buckets and chunks by the number of tasks: a packed row for each pair of them
     kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     dealt = columns(docs, id_col, text_col, *[c for c in carry if c not in (id_col, text_col)]).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *kept)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
