@@ -42,6 +42,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import minhash
+
+    return minhash.digest(minhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import pii
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op4_media_columns": op4_media_columns,
         "op5_substring_dedup": op5_substring_dedup,
+        "op7_minhash_forest": op7_minhash_forest,
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
     }
