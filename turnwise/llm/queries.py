@@ -30,6 +30,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path, split_pattern()), path)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import vectors
+
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import media
 
@@ -64,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_media_columns": op4_media_columns,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_minhash_forest": op7_minhash_forest,
