@@ -48,12 +48,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import token_counts
+
+    separator = 50256  # a fixed value of the vocabulary: its end-of-text token
+    files = token_counts.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), separator)
+    return token_counts.document_tokens(files, separator)
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import minhash
 
     return minhash.digest(minhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnwise.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern())
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnwise.llm import pii
 
@@ -73,7 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_media_columns": op4_media_columns,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_token_counts": op6_token_counts,
         "op7_minhash_forest": op7_minhash_forest,
+        "op8_mixture_packing": op8_mixture_packing,
         "op9_pii": op9_pii,
         "op10_toxicity": op10_toxicity,
     }
