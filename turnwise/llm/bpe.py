@@ -33,6 +33,7 @@ FOLD_BYTES = 48
 REMEMBER = 400_000
 _PRIME = 4294967291
 _EMPTY = 1 << 62
+_NONE, _EDGE = 65536, 65535
 
 
 @lru_cache(4)
@@ -48,8 +49,8 @@ def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     Pair (a, b) has the key a * 65536 + b; its slot holds key * 65536 + rank.
     """
     ranks = load_ranks(path)
-    if len(ranks) > 65536:
-        raise ValueError("the rank map takes vocabularies of up to 65,536 entries")
+    if max(ranks.values()) >= _EDGE:
+        raise ValueError("the rank map takes vocabularies of up to 65,535 entries")
     keys, values = [], []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -91,35 +92,36 @@ def fold_merges(pieces: Column, path: str) -> Column:
     ranks = load_ranks(path)
     shift, table, multiplier = rank_map(path)
     single = _literal([ranks[bytes([i])] for i in range(256)], "bigint")
+    first = _literal([ranks.get(bytes([i, j]), _NONE) for i in range(256) for j in range(256)], "bigint")
     shifts, slots = _literal(shift.tolist(), "int"), _literal(table.tolist(), "bigint")
     buckets, size = len(shift), len(table)
+    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.array(F.lit(_NONE).cast("bigint"))
 
-    none = 65536
-
-    def rank_of(a: Column, b: Column) -> Column:
-        """The rank, or 65536: a slot of another pair differs from the key in its upper bits."""
-        key = a * F.lit(65536) + b
+    def rank_of(key: Column) -> Column:
+        """The rank of a pair, or at least _NONE: a slot of another pair differs from the key in its upper bits."""
         entry = F.get(slots, ((key * F.lit(multiplier) % F.lit(_PRIME) + F.get(shifts, (key % F.lit(buckets)).cast("int"))) % F.lit(size)).cast("int"))
-        return F.least(entry.bitwiseXOR(key * F.lit(65536)), F.lit(none).cast("bigint"))
+        return F.least(entry.bitwiseXOR(key * F.lit(65536)), F.lit(_NONE).cast("bigint"))
 
     def bound(value: Column, body) -> Column:
         """``body`` of a value that is computed once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def merge(ids: Column, best: Column) -> Column:
-        at = (best % F.lit(65536)).cast("int")
-        return F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(best, 16)), F.slice(ids, at + F.lit(3), F.size(ids)))
+    def merge(ids: Column, known: Column, best: Column, at: Column) -> Column:
+        """The pair at ``at`` becomes one token; only the ranks of its two new pairs are looked up."""
+        keys = F.array(F.get(ids, at - F.lit(2)) * F.lit(65536) + best, best * F.lit(65536) + F.get(ids, at + F.lit(1)))
+        merged = F.concat(F.slice(ids, F.lit(1), at - F.lit(1)), F.array(best), F.slice(ids, at + F.lit(2), F.size(ids)))
+        left = F.concat(F.slice(known, F.lit(1), at - F.lit(2)), F.transform(keys, rank_of), F.slice(known, at + F.lit(2), F.size(known)))
+        return F.struct(merged.alias("ids"), left.alias("known"))
 
     def step(acc: Column, _: Column) -> Column:
-        ids = acc["ids"]
-        # rank * 65536 + position: the least rank, leftmost first
-        ranked = F.transform(F.slice(ids, F.lit(1), F.size(ids) - F.lit(1)), lambda a, i: rank_of(a, F.get(ids, i + F.lit(1))) * F.lit(65536) + i)
-        merged = bound(F.array_min(ranked), lambda best: F.when(best < F.lit(none << 16), F.struct(merge(ids, best).alias("ids"), F.lit(True).alias("more"))).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more"))))
-        return F.when(acc["more"] & (F.size(ids) > F.lit(1)), merged).otherwise(acc)
+        return bound(F.array_min(acc["known"]), lambda best: F.when(best < F.lit(_NONE), bound(F.array_position(acc["known"], best).cast("int"), lambda at: merge(acc["ids"], acc["known"], best, at))).otherwise(acc))
 
     def encode(piece: Column) -> Column:
-        start = F.struct(F.transform(piece, lambda b: F.get(single, b.cast("int"))).alias("ids"), F.lit(True).alias("more"))
-        return F.aggregate(piece, start, step, lambda acc: acc["ids"])
+        ids = F.concat(edge, F.transform(piece, lambda b: F.get(single, b.cast("int"))), edge)
+        pairs = F.transform(F.slice(piece, F.lit(2), F.size(piece)), lambda b, i: F.get(first, F.get(piece, i).cast("int") * F.lit(256) + b.cast("int")))
+        # an edge on either side pairs with nothing
+        start = F.struct(ids.alias("ids"), F.concat(none, pairs, none).alias("known"))
+        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - F.lit(2)))
 
     return F.transform(pieces, encode)
 
