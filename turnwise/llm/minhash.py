@@ -10,9 +10,8 @@ shingle sets, unless both are already connected by confirmed links, which change
 
 How it is spread: equal sets are one class from the start, so exact copies cost one row each. Regions are cut by range
 partitions of the sorted orders, so no region, however large, has to fit in a task. Only rows that share a prefix with
-another row enter the orders; that filter sends one row per prefix and task. Confirming goes in rounds: the best candidate
-of each row, then the best between each two components, until no unconfirmed candidate joins two components; a round
-costs as many texts as it has pairs. Components come from stars over written tables. Nothing is broadcast or collected.
+another row enter the orders; that filter sends one row per prefix and task. Confirming goes in two rounds: the best candidate
+of each row, then every candidate that joins two components; a row has at most a fixed number of candidates. Components come from stars over written tables. Nothing is broadcast or collected.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer than five words has its
 whole sequence as the one shingle; rows without an id are linked with nothing and kept; rows that repeat an id are one
@@ -265,26 +264,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def components_by_rounds(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of the confirmed links; pairs whose ends are already connected are not confirmed."""
-    rank = lambda ends: F.max_by(ends, F.struct(F.col("agree"), -F.col("a"), -F.col("b")))
-    ends = F.struct("a", "b")
+    """(node, component) of the confirmed links; pairs whose ends the first round connects are not confirmed."""
     both = pairs.select(F.col("a").alias("x"), "a", "b", "agree").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "agree"))
-    chosen = both.groupBy("x").agg(rank(ends).alias("p")).select("p.a", "p.b").distinct()
-    done: DataFrame | None = None
-    while True:
-        checked = written(confirm(chosen, texts), "checked")
-        done = checked if done is None else done.unionByName(checked)
-        labels = components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        left = pairs.join(done, ["a", "b"], "left_anti")
-        left = left.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        left = left.select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        left = written(left.select("a", "b", "agree", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")), "left")
-        best = left.groupBy("ca", "cb").agg(rank(ends).alias("p"), F.count(F.lit(1)).alias("n"))
-        count = best.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
-        if not count.k:
-            return labels
-        # few pairs for each two components: all at once, else the best of them first
-        chosen = left.select("a", "b") if count.n <= 2 * count.k else best.select("p.a", "p.b")
+    best = F.max_by(F.struct("a", "b"), F.struct(F.col("agree"), -F.col("a"), -F.col("b")))
+    chosen = both.groupBy("x").agg(best.alias("p")).select("p.a", "p.b").distinct()
+    first = written(confirm(chosen, texts), "checked")
+    labels = written(components(first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    left = pairs.join(first, ["a", "b"], "left_anti")
+    left = left.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    left = left.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb").select("a", "b")
+    rest = written(confirm(left, texts), "checked")
+    links = rest.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def digest(found: DataFrame) -> DataFrame:
