@@ -1 +1 @@
-
+"""Structured Streaming operators: live sessions and transcript jobs."""
