@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.bpe import PieceIds
+from turnwise.llm.bpe import TokenIds
 from turnwise.llm.common import short_batches, text_batches, written
 
 WINDOW, BLOCK_WINDOWS, QUANTUM, MAX_QUEUES = 1024, 256, 128, 64
@@ -127,7 +127,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tokenizer = TaskContext.get().partitionId(), PieceIds(path, pattern)
+        part, tokenizer = TaskContext.get().partitionId(), TokenIds.of(path, pattern)
         before: dict[int, int] = {}
 
         def pairs() -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
             for q, n in zip(which, np.diff(bounds).tolist(), strict=True):
                 ahead.append(before.get(q, 0))
                 before[q] = ahead[-1] + n
-            data = tokens.astype("<u2" if tokenizer.tokenizer.get_vocab_size() <= 65536 else "<u4")
+            data = tokens.astype("<u2" if tokenizer.size <= 65536 else "<u4")
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(which, pa.int32()), pa.array(ahead, pa.int64()), pa.array([k["id"] for k in keys], id_type), pa.array(np.diff(bounds), pa.int64()), pa.array([data[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["part", "queue", "before", "id", "n", "ids"])
 
     return written(rows.mapInArrow(run, f"part int, queue int, before bigint, id {kind}, n bigint, ids binary"), "tokens")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.bpe import PieceIds
+from turnwise.llm.bpe import TokenIds
 from turnwise.llm.common import columns, short_batches, text_batches, written
 
 #: Bytes of a block: a multiple of four.
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, separator: int,
         from pyspark import TaskContext
 
         file, number, held, names = TaskContext.get().partitionId(), 0, bytearray(), []
-        tokenizer = PieceIds(path, pattern)
+        tokenizer = TokenIds.of(path, pattern)
 
         def row(data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary()), pa.array([names], pa.list_(pa.int64()))], names=["file", "block", "data", "ids"])
