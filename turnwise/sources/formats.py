@@ -9,22 +9,23 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.functions import srt_timestamp
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fixed3(x: pd.Series) -> pd.Series:
     """Three places, as text."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.3f}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def round3(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 3))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def segment_json(start: pd.Series, end: pd.Series, speaker: pd.Series, text: pd.Series, words: pd.Series) -> pd.Series:
     import json
 
@@ -40,7 +41,7 @@ def segments_to_json(segments: DataFrame) -> DataFrame:
     one = segments.select("rec_id", "seg_idx", segment_json("start", "end", "speaker", "text", "words").alias("j"))
     listed = one.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "j"))), lambda s: s["j"]).alias("js"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def indented(js: pd.Series) -> pd.Series:
         import json
 
@@ -66,7 +67,7 @@ def exact_stamp(seconds: Column) -> Column:
     return _stamp(seconds)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stamp(x: pd.Series) -> pd.Series:
     def one(v: float) -> str:
         ms = int(round(max(v, 0.0) * 1000))

@@ -13,11 +13,14 @@ SUFFIXES = (".wav", ".flac", ".ogg", ".mp3", ".m4a")
 
 
 def dropped_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(job, filename, suffix, content, problem): a stream of files; ``problem`` tells why one isn't taken."""
+    """(job, filename, suffix, content, problem): a stream of files; ``problem`` tells why one isn't taken.
+
+    Spark's file source doesn't list files without bytes, so an empty upload never becomes a job.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    problem = F.when(~suffix.isin(*SUFFIXES), F.concat(F.lit("unsupported file type "), F.when(suffix == "", "(none)").otherwise(suffix))).when(F.col("length") == 0, "empty upload")
+    problem = F.when(~suffix.isin(*SUFFIXES), F.concat(F.lit("unsupported file type "), F.when(suffix == "", "(none)").otherwise(suffix)))
     return files.select(F.substring(F.sha2("path", 256), 1, 12).alias("job"), name.alias("filename"), suffix.alias("suffix"), "content", problem.alias("problem"))
 
 
