@@ -1,6 +1,7 @@
 """Operator 3. Embedding near-dedup by a pivot-permutation index.
 
-Reference points (pivots) are a bounded, hash-ordered sample of at most ``PIVOTS`` vectors of each dimension. A vector is
+Reference points (pivots) are chosen from a bounded, hash-ordered sample (``SAMPLE``): at most ``PIVOTS`` of each length, none
+near another, so that a dense group doesn't take them all. A vector is
 described by its ``NEAREST`` nearest pivots in order. Inverted lists are kept by label and triple of pivots, so two vectors
 that meet in a list share at least three pivots; the number of common pivots of a pair is counted from the descriptions,
 and a pair is verified once, in the list of its first three common pivots, by the cosine in double precision.
@@ -28,111 +29,154 @@ from pyspark.sql import functions as F
 from turnwise.llm.common import columns, short_batches, written
 from turnwise.llm.graph import components
 
-PIVOTS, NEAREST, SHARED = 128, 10, 3
-LIST = 2048
+PIVOTS, NEAREST, SHARED = 256, 7, 3
+#: Pivots come from so many vectors at most, and are so far apart (a cosine).
+SAMPLE, APART = 1024, 0.7
+LIST, SMALL = 2048, 64
 THRESHOLD = 0.98
 _TRIPLES = np.array(list(combinations(range(NEAREST), SHARED)))
 
 
+def spread_pivots(sample: list[list[float]]) -> dict[int, np.ndarray]:
+    """For each length up to PIVOTS unit vectors of the sample, in its order, none within 45 degrees of an earlier one."""
+    out: dict[int, np.ndarray] = {}
+    for v in sample:
+        x = np.array(v, np.float64)
+        x = x / np.sqrt(x @ x)
+        known = out.get(len(x), np.zeros((0, len(x))))
+        if len(known) < PIVOTS and (not len(known) or (known @ x).max() < APART):
+            out[len(x)] = np.concatenate([known, x[None]])
+    return out
+
+
 def describe(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(cls, label, list, near, vec): a row for each class and triple of its nearest pivots, packed by class."""
+    """(cls, label, dim, list, near): a row for each class and triple of its nearest pivots."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column(3).to_pylist()
-            for i, v in enumerate(vectors):
-                x = np.array(v, np.float64)
-                p = shared.value.get(len(x))
+            lengths = b.column(2).value_lengths().to_numpy()
+            values, ends = b.column(2).flatten().to_numpy(), np.cumsum(lengths)
+            for dim in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == dim)
+                x = values[(ends[at] - dim)[:, None] + np.arange(dim)]
+                p = shared.value.get(dim)
                 if p is None:  # a length that the sample lacks has fixed random pivots
-                    p = shared.value.setdefault(len(x), np.random.default_rng(len(x)).normal(size=(PIVOTS, len(x))))
-                near = np.argsort(-(p @ (x / np.sqrt(x @ x))), kind="stable")[:NEAREST]
-                order = np.sort(near)
-                if len(order) >= SHARED:
-                    t = _TRIPLES[_TRIPLES.max(1) < len(order)]
-                    keys = (order[t[:, 0]] * PIVOTS + order[t[:, 1]]) * PIVOTS + order[t[:, 2]]
+                    p = shared.value.setdefault(dim, np.random.default_rng(dim).normal(size=(PIVOTS, dim)))
+                order = np.sort(np.argsort(-(x / np.sqrt((x * x).sum(1))[:, None]) @ p.T, axis=1, kind="stable")[:, :NEAREST], axis=1)
+                if order.shape[1] >= SHARED:
+                    t = _TRIPLES[_TRIPLES.max(1) < order.shape[1]]
+                    keys = (order[:, t[:, 0]] * PIVOTS + order[:, t[:, 1]]) * PIVOTS + order[:, t[:, 2]]
                 else:
-                    keys = np.array([-1])
-                n = len(keys)
-                row = b.slice(i, 1)
-                take = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([row.column(0).take(take), row.column(1).take(take), row.column(2).take(take), pa.array(keys, pa.int32()), pa.array([order.astype(np.int16).tobytes()] * n, pa.binary()), pa.array([x.tobytes()] * n, pa.binary())], names=["cls", "label", "copies", "list", "near", "vec"])
-
-    return classes.select("cls", "label", "copies", "vec").mapInArrow(run, f"cls bigint, label {dict(classes.dtypes)['label']}, copies bigint, list int, near binary, vec binary")
-
-
-def _compare(left: tuple, right: tuple | None, key: int, threshold: float):
-    """Links of a block with itself (right None) or another: (row, column) indices of verified pairs whose list this is."""
-    ids, near, vec = left
-    ids2, near2, vec2 = left if right is None else right
-    cos = vec @ vec2.T >= threshold - 1e-9
-    if right is None:
-        cos = np.triu(cos, 1)
-    i, j = np.nonzero(cos)
-    if not len(i):
+                    keys = np.full((len(at), 1), -1)
+                row = np.repeat(at, keys.shape[1])
+                near = pa.array([o.tobytes() for o in order.astype(np.int16)], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), keys.shape[1])))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(row), dim), pa.int32()), pa.array(keys.ravel(), pa.int32()), near], names=["cls", "label", "dim", "list", "near"])
+
+    return classes.select("cls", "label", "vec").mapInArrow(run, f"cls bigint, label {dict(classes.dtypes)['label']}, dim int, list int, near binary")
+
+
+def _verified(i: np.ndarray, j: np.ndarray, lists: np.ndarray, near: np.ndarray, vec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that link, each in the list of its first three common pivots only."""
+    good = np.einsum("ij,ij->i", vec[i], vec[j]) >= threshold
+    i, j = i[good], j[good]
+    if not len(i) or near.shape[1] < SHARED:
         return i, j
-    # the list of a pair is that of its first three common pivots
-    common = (near[i][:, :, None] == near2[j][:, None, :]).any(2)
-    width = near.shape[1]
-    if width >= SHARED and key >= 0:
-        at = np.argsort(~common, axis=1, kind="stable")[:, :SHARED]
-        first = np.take_along_axis(near[i], at, 1).astype(np.int64)
-        mine = ((first[:, 0] * PIVOTS + first[:, 1]) * PIVOTS + first[:, 2] == key) & (common.sum(1) >= SHARED)
-        i, j = i[mine], j[mine]
-    # the exact cosine of what is left, each by itself
-    exact = np.einsum("ij,ij->i", vec[i], vec2[j]) >= threshold
-    return i[exact], j[exact]
-
-
-def link(described: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cls, n, other): linked rows of a class (n, copies counted) and links (other) that join its list's components."""
-    sizes = described.groupBy("label", "list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / LIST).cast("int")
-    rows = described.join(sizes.select(F.col("label").alias("_l"), F.col("list").alias("_t"), blocks.alias("blocks")), (F.col("label") == F.col("_l")) & (F.col("list") == F.col("_t"))).drop("_l", "_t")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks").cast("bigint")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with")).drop("with", "blocks")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        name, x, y = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        ids, copies, own_ = table.column("cls").to_numpy(), table.column("copies").to_numpy(), table.column("own").to_numpy()
-        by = np.lexsort((ids, own_))
-        ids, copies, own_ = ids[by], copies[by], own_[by]
-        near_ = [np.frombuffer(v, np.int16) for v in table.column("near").to_pylist()]
-        vec_ = [np.frombuffer(v, np.float64) for v in table.column("vec").to_pylist()]
-        n_links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for dim in sorted({len(v) for v in vec_}):  # vectors of one length only
-            at = np.array([k for k in range(len(by)) if len(vec_[by[k]]) == dim])
-            near = np.stack([near_[by[k]] for k in at])
-            vec = np.stack([vec_[by[k]] for k in at])
-            vec = vec / np.sqrt((vec * vec).sum(1))[:, None]
-            a = np.flatnonzero(own_[at] == x)
-            b = np.flatnonzero(own_[at] == y)
-            part = lambda p: (ids[at[p]], near[p], vec[p])
-            for s in range(0, len(a), 512):
-                rows_ = a[s : s + 512]
-                for t in range(s if x == y else 0, len(b), 512):
-                    cols = b[t : t + 512]
-                    i, j = _compare(part(rows_), None if x == y and s == t else part(cols), name, threshold)
-                    i, j = at[rows_[i]], at[cols[j]]
-                    np.add.at(n_links, i, copies[j])
-                    np.add.at(n_links, j, copies[i])
-                    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                        p, q = find(p), find(q)
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-        linked = np.flatnonzero(n_links)
-        roots = np.array([find(i) for i in linked.tolist()], np.int64)
-        return pa.table([pa.array(ids[linked], pa.int64()), pa.array(n_links[linked], pa.int64()), pa.array(ids[roots] if len(roots) else [], pa.int64())], names=["cls", "n", "other"])
-
-    return rows.groupBy("label", "list", "x", "y").applyInArrow(run, "cls bigint, n bigint, other bigint")
+    common = (near[i][:, :, None] == near[j][:, None, :]).any(2)
+    first = np.take_along_axis(near[i], np.argsort(~common, axis=1, kind="stable")[:, :SHARED], 1).astype(np.int64)
+    mine = (common.sum(1) >= SHARED) & ((first[:, 0] * PIVOTS + first[:, 1]) * PIVOTS + first[:, 2] == lists[i])
+    return i[mine], j[mine]
+
+
+def _links(group: np.ndarray, own: np.ndarray, cross: np.ndarray, lists: np.ndarray, near: np.ndarray, vec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs inside groups of consecutive rows; where ``cross``, only of rows of different blocks."""
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.concatenate([at, [len(group)]]))
+    out = []
+    small = np.repeat(size <= SMALL, size)
+    for d in range(1, int(size[size <= SMALL].max(initial=1))):
+        i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d])
+        for k in range(0, len(i), 100_000):
+            x = i[k : k + 100_000]
+            x = x[~cross[x] | (own[x] != own[x + d])]
+            out.append(_verified(x, x + d, lists, near, vec, threshold))
+    for start, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        for a in range(start, start + n, 512):
+            for b in range(a, start + n, 512):
+                x, y = np.nonzero(vec[a : min(a + 512, start + n)] @ vec[b : min(b + 512, start + n)].T >= threshold - 1e-9)
+                x, y = x + a, y + b
+                ok = (x < y) & (~cross[x] | (own[x] != own[y]))
+                out.append(_verified(x[ok], y[ok], lists, near, vec, threshold))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[i for i, _ in out]]), np.concatenate([none, *[j for _, j in out]])
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, label[i], least)
+        np.minimum.at(after, label[j], least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def link(described: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(cls, n, other): linked rows of a class (copies counted) and links (other) that join its list's components."""
+    keys = ["label", "dim", "list"]
+    sizes = described.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = described.join(sizes.withColumn("blocks", F.ceil(F.col("size") / LIST).cast("int")).drop("size"), keys)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("bigint")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
+    rows = rows.join(classes.select("cls", "copies", "vec"), "cls").select("label", "dim", "list", "x", "y", "own", "cls", "copies", "near", F.col("vec"))
+    parts = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
+            dims = t.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = t.filter(pa.array(dims == dim)).combine_chunks()
+                lists, x, y, own, cls, copies = (part.column(c).to_numpy() for c in ("list", "x", "y", "own", "cls", "copies"))
+                vec = part.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+                vec = vec / np.sqrt((vec * vec).sum(1))[:, None]
+                near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.int16).reshape(len(cls), -1)
+                label = part.column("label").to_numpy()
+                new = np.concatenate([[True], (label[1:] != label[:-1]) | (lists[1:] != lists[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+                i, j = _links(np.cumsum(new), own, x != y, lists, near, vec, threshold)
+                n = np.zeros(len(cls), np.int64)
+                np.add.at(n, i, copies[j])
+                np.add.at(n, j, copies[i])
+                linked = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(n[linked]), pa.array(cls[_roots(len(cls), i, j)[linked]])], names=["cls", "n", "other"])
+
+        held: list[pa.RecordBatch] = []
+        rows_ = 0
+        for b in batches:
+            held.append(b)
+            rows_ += b.num_rows
+            if rows_ < 16_384:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            # up to the last whole group
+            change = np.zeros(t.num_rows - 1, bool)
+            for c in ("label", "dim", "list", "x", "y"):
+                v = t.column(c).to_numpy()
+                change |= v[1:] != v[:-1]
+            cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
+            if cut:
+                yield from solve(t.slice(0, cut))
+            held, rows_ = t.slice(cut).to_batches(), t.num_rows - cut
+        if rows_:
+            yield from solve(pa.Table.from_batches(held))
+
+    dealt = rows.repartition(parts, "label", "dim", "list", "x", "y").sortWithinPartitions("label", "dim", "list", "x", "y", "cls")
+    return dealt.mapInArrow(run, "cls bigint, n bigint, other bigint")
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -146,12 +190,9 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     base = base.withColumn("key", F.when(F.col("vec").isNotNull(), F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")), 256)))
     classes = base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("cls"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "vectors")
-    sample = classes.orderBy(F.xxhash64("key"), "key").limit(4 * PIVOTS).select("vec").collect()
-    pivots: dict[int, list] = {}
-    for r in sample:
-        pivots.setdefault(len(r.vec), []).append(r.vec)
-    unit = {n: (m := np.array(v[:PIVOTS])) / np.sqrt((m * m).sum(1))[:, None] for n, v in pivots.items()}
-    found = written(link(describe(classes, unit), threshold), "links")
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").collect()
+    pivots = spread_pivots([r.vec for r in sample])
+    found = written(link(describe(classes, pivots), classes, threshold), "links")
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
     labels = components(found.where("cls <> other").select(F.col("cls").alias("u"), F.col("other").alias("v")))
     # several classes may have one smallest id only where an id is repeated; their links add up
