@@ -31,7 +31,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s<>\"]*)?")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|id|#))?[ ]?[:=#]?[ ]?([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])", re.I)
+_ACCOUNT = re.compile(r"(?i:[ ]?(?:number|no\.?|nr\.?|id|#))?[ ]?[:=#]?[ ]?(?:([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)|([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,23}))(?![A-Za-z0-9])")
 _CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
 _SCHEMES = ("http", "https", "ftp")
 
@@ -67,6 +67,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> bool:
+    compact = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -106,10 +111,10 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 url_end = start + len((text[start : m.end()]).rstrip(".,;:!?)'"))
                 out.append((start, url_end, "url"))
         elif at >= account_end and (at == 0 or not text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-            body = m[1]
-            if sum(c.isdigit() for c in body) >= 6:
-                account_end = m.end(1)
-                out.append((m.start(1), account_end, "account"))
+            at = 1 if m[1] else 2
+            if at == 2 or _mod97(m[1]):
+                account_end = m.end(at)
+                out.append((m.start(at), account_end, "account"))
     out.sort(key=lambda s: (s[0], _RANK[s[2]]))
     return out
 
@@ -177,7 +182,7 @@ def brute(text: str | None) -> str:
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((m.start(), 0, m.end(), "email"))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(re.fullmatch(r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])", p) for p in m[0].split(".")):
             out.append((m.start(), 1, m.end(), "ip"))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub(r"[^0-9]", "", m[0])

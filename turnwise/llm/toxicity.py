@@ -11,8 +11,8 @@ they are broadcast; scoring is one pass over the corpus without a shuffle.
 
 Defined results: a score depends on the text alone; null and empty texts, and texts without a term of the vocabulary,
 get the score of an empty vote; a null id counts as held out; repeated rows give repeated results; of several labels of
-one id the largest holds; null labels are ignored; without examples of both classes every score is the (smoothed) share
-of toxic examples. Columns other than id and text are not read.
+one id the largest holds; null labels are ignored; without examples of both classes every score is the share of toxic
+examples (a half more of two more: below 0.5 without any example). Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     frequent = counted.where((F.col("term") == "") | (F.col("n1") >= LEAST_EXAMPLES) & (F.col("n1") > F.col("n0"))).orderBy(F.desc(F.col("term") == ""), F.desc("n1"), "term").limit(8 * MAX_TERMS).collect()
     t1, t0 = next(((float(r.n1), float(r.n0)) for r in frequent if r.term == ""), (0.0, 0.0))
     rows = [r for r in frequent if r.term]
-    share = (t1 + 0.5) / (t1 + t0 + 1)
+    share = (t1 + 0.5) / (t1 + t0 + 2)
     empty = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(share / (1 - share)))
     if not rows or not t0 or not t1:
         return empty
