@@ -37,3 +37,19 @@ def test_bench_run(spark, tmp_path):
     (path,) = (tmp_path / "benchmark_clustered_small_int8_cpu.json").glob("*.json")
     report = json.loads(path.read_text())
     assert report["overall"]["wer"] == 0.0 and report["overall"]["der"] == 0.0 and report["per_mixture"][0]["num_speakers_hyp"] == 1
+
+
+def test_bench_build(spark, tmp_path):
+    for s in ("s1", "s2", "s3", "s4"):
+        (tmp_path / f"c/{s}/ch").mkdir(parents=True)
+        lines = []
+        for i in range(3):
+            (tmp_path / f"c/{s}/ch/{s}-{i}.wav").write_bytes(encode_wav(np.full(4000, 0.1), 16000))
+            lines.append(f"{s}-{i} word{i}")
+        (tmp_path / f"c/{s}/ch/{s}.trans.txt").write_text("\n".join(lines) + "\n")
+    assert cli.main(["bench", "build", "--corpus", str(tmp_path / "c"), "--mixtures", "2", "--out", str(tmp_path / "o")]) == 0
+    from turnwise.sources.annotations import read_manifest
+
+    got = {r.id: r for r in read_manifest(spark, str(tmp_path / "o/manifest")).collect()}
+    assert sorted(got) == ["mix_000", "mix_001"] and got["mix_001"].num_speakers == 3 and len(got["mix_000"].text.split()) == len(got["mix_000"].turns)
+    assert spark.read.parquet(str(tmp_path / "o/audio.parquet")).count() == 2

@@ -49,7 +49,16 @@ def build_parser() -> argparse.ArgumentParser:
     run.add_argument("--manifest", required=True)
     run.add_argument("--collar", type=float, default=0.25)
     run.add_argument("--out", required=True)
+    build = b.add_parser("build")
+    build.add_argument("--corpus", required=True, help="folder of speaker/chapter/utterance.wav with *.trans.txt")
+    build.add_argument("--mixtures", type=int, default=12)
+    build.add_argument("--utterances", type=int, default=9)
+    build.add_argument("--max-utt-seconds", type=float, default=10.0)
+    build.add_argument("--seed", type=int, default=0)
+    build.add_argument("--overlap-prob", type=float, default=0.0)
+    build.add_argument("--out", required=True)
     grid = b.add_parser("sweep", parents=[model])
+    grid.add_argument("--out", default=None, help="write the report here")
     grid.add_argument("--manifest", required=True)
     grid.add_argument("--collar", type=float, default=0.25)
     for name in ("lo", "hi", "step"):
@@ -96,6 +105,15 @@ def _write(segments: DataFrame, args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     spark = SparkSession.builder.appName("turnwise").getOrCreate()
+    if args.command == "bench" and args.step == "build":
+        from turnwise.plans.build import build_set
+
+        clips = sound.read_audio(spark, f"{args.corpus}/*/*/*.wav").select(F.col("rec_id").alias("utt_id"), "path", "duration", "sample_rate", "samples", F.element_at(F.split("path", "/"), -3).alias("speaker"))
+        chosen = annotations.select_utterances(clips, annotations.read_transcripts(spark, args.corpus), args.max_utt_seconds, args.utterances)
+        made = build_set(chosen.withColumnRenamed("text", "transcript"), args.mixtures, args.utterances, args.seed, args.overlap_prob).persist()
+        formats.write_manifest(made.drop("samples", "sample_rate"), f"{args.out}/manifest")
+        sound.with_wav(made).select("id", "wav").write.mode("overwrite").parquet(f"{args.out}/audio.parquet")
+        return 0
     if args.command == "bench":
         manifest = annotations.read_manifest(spark, args.manifest)
         audio = sound.read_audio(spark, f"{args.manifest.rsplit('/', 1)[0]}/audio")
@@ -113,8 +131,11 @@ def main(argv: list[str] | None = None) -> int:
         c = models.ClusteredConfig()
         embedded = plans.embed_windows(audio, slice_windows(merge_regions(plans.detect_regions(audio, vad), c.min_gap, c.min_duration, c.vad_pad)), embed).persist()
         order = manifest.select(F.col("id").alias("rec_id"), F.dense_rank().over(Window.orderBy("id")).alias("mix_idx"))
-        rolled = sweep.roll_up(plans.sweep_threshold(embedded, reference, sweep.grid(args.lo, args.hi, args.step), order, args.collar))
+        cells = plans.sweep_threshold(embedded, reference, sweep.grid(args.lo, args.hi, args.step), order, args.collar).persist()
+        rolled = sweep.roll_up(cells).persist()
         rolled.orderBy("value", "split").show(200, truncate=False)
+        if args.out:
+            formats.write_report(formats.sweep_report(rolled, cells, "threshold", f"{c.distance_threshold:.2f}"), args.out)
         return 0
     audio = sound.read_audio(spark, args.audio)
     if args.command == "diarize":

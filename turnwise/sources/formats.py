@@ -102,3 +102,18 @@ def report_tag(set_name: str, backend: str, model: str, compute: str, device: st
     """The file name of a report, with what differs from the defaults."""
     parts = ["benchmark", *([] if set_name == "plain" else [set_name.replace("-", "_")]), backend, model, compute, device, *(["oracle"] if oracle else []), *([f"thr{threshold:g}"] if threshold is not None else []), *([f"pad{pad:g}"] if pad is not None else [])]
     return "_".join(parts) + ".json"
+
+
+def sweep_report(rolled: DataFrame, cells: DataFrame, param: str, default: str) -> DataFrame:
+    """One row: config, the chosen and the default value with their held-out error, the grid and each recording's cells."""
+    from turnwise.operators.sweep import pick_value
+
+    one = lambda *c: F.struct(*[F.bround(x, 4).alias(x) if x in ("der", "miss", "false_alarm", "confusion") else F.col(x) for x in c])
+    by_split = rolled.groupBy("value").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", one("der", "miss", "false_alarm", "confusion", "speakers_correct"))))).alias("sets"))
+    grid = by_split.agg(F.map_from_entries(F.collect_list(F.struct("value", "sets"))).alias("grid"))
+    each = cells.groupBy("mix_id", "mix_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", F.struct("miss", "false_alarm", "confusion", "ref_time", "num_speakers_hyp"))))).alias("by_value"))
+    listed = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("mix_idx", "mix_id", "by_value")), lambda a, b: F.sign(a["mix_idx"] - b["mix_idx"]).cast("int")), lambda m: F.struct(m["mix_id"].alias("id"), m["by_value"].alias("by_value"))).alias("per_mixture"))
+    config = F.struct(F.lit(param).alias("param"))
+    heldout = lambda v: F.try_element_at(F.try_element_at("grid", v), F.lit("heldout"))["der"]
+    row = grid.join(listed).join(pick_value(rolled).select(F.col("value").alias("chosen_value")))
+    return row.select(config.alias("config"), "chosen_value", heldout(F.col("chosen_value")).alias("chosen_heldout_der"), F.lit(default).alias("default_value"), heldout(F.lit(default)).alias("default_heldout_der"), "grid", "per_mixture")
