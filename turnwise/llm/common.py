@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_M = np.uint64
 #: Rows of an Arrow batch at most; whole texts can be long, so batches of them stay short.
 ARROW_ROWS = 512
 
@@ -51,9 +52,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input; only sets the number of partitions, never what is computed."""
+    """Catalyst's estimate of the input, 0 if it has none; only sets numbers of partitions, never what is computed."""
     est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(est, 1 << 50)
+    return est if est < 1 << 60 else 0
 
 
 def partitions_for(df: DataFrame, target: int) -> int:
@@ -67,6 +68,29 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Bits of an id filter: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, name: str) -> np.ndarray:
+    """A Bloom filter of fixed size over a bigint column; it may let other ids pass, so a join has to follow it."""
+    h = F.xxhash64(F.col(name))
+    places = F.array(h.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(h, 25).bitwiseAND(F.lit(FILTER_BITS - 1)))
+    words = ids.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which xxhash64 values the filter lets pass."""
+    ok = np.ones(len(hashes), bool)
+    h = hashes.view(np.uint64)
+    for p in (h & _M(FILTER_BITS - 1), (h >> _M(25)) & _M(FILTER_BITS - 1)):
+        ok &= ((bits[(p >> _M(6)).astype(np.int64)].view(np.uint64) >> (p & _M(63))) & _M(1)).astype(bool)
+    return ok
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """(first column, second column as UTF-8 bytes) in slices of about ``limit`` bytes; null text is empty."""
     ids, texts, size = [], [], 0
@@ -91,8 +115,6 @@ def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- hashing of words and windows
 
-_M = np.uint64
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 on uint64."""

@@ -11,7 +11,8 @@ shingle sets, unless both are already connected by confirmed links, which change
 How it is spread: equal sets are one class from the start, so exact copies cost one row each. Regions are cut by range
 partitions of the sorted orders, so no region, however large, has to fit in a task. Only rows that share a prefix with
 another row enter the orders; that filter sends one row per prefix and task. Confirming goes in two rounds: the best candidate
-of each row, then every candidate that joins two components; a row has at most a fixed number of candidates. Components come from stars over written tables. Nothing is broadcast or collected.
+of each row, then every candidate that joins two components; a row has at most a fixed number of candidates. Components come from stars over written tables. What is broadcast is
+a filter of fixed size that keeps texts without candidates from moving.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer than five words has its
 whole sequence as the one shingle; rows without an id are linked with nothing and kept; rows that repeat an id are one
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import columns, mix, partitions_for, short_batches, text_batches, windows_of, words_of, written
+from turnwise.llm.common import columns, id_filter, may_hold, mix, partitions_for, short_batches, text_batches, windows_of, words_of, written
 from turnwise.llm.graph import components
 
 WIDTH = 5
@@ -202,17 +203,26 @@ def neighbours(reps: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, "t", "ordered", "rep").sortWithinPartitions("t", "ordered", "rep").mapInArrow(compare, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def pack_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, packed): compressed texts, to be sent to the pairs."""
+def pack_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(rep, packed): compressed texts of the wanted ids (rep), to be sent to the pairs.
+
+    A filter of fixed size leaves most other texts where they are; the join then leaves out the rest.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         c = zstandard.ZstdCompressor(level=3)
-        for ids, texts in text_batches(batches, 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], names=["rep", "packed"])
+        for b in batches:
+            b = b.filter(pa.array(may_hold(shared.value, b.column(2).to_numpy())))
+            for ids, texts in text_batches(iter([b]), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], names=["rep", "packed"])
 
-    return columns(docs, id_col, text_col).select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "rep bigint, packed binary")
+    rows = columns(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
+    packed = rows.withColumn("h", F.xxhash64("rep")).mapInArrow(run, "rep bigint, packed binary")
+    # of a repeated id one text is compared
+    return packed.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("packed").alias("packed"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,9 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sets.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = written(reps, "classes")
     pairs = written(neighbours(classes, parts), "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    # of a repeated id one text is compared
-    texts = written(pack_texts(docs, id_col, text_col).join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("packed").alias("packed")), "texts")
+    wanted = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
+    texts = written(pack_texts(docs, id_col, text_col, wanted), "texts")
     labels = components_by_rounds(pairs, texts)
     member = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     kind = docs.schema[id_col].dataType
