@@ -3,7 +3,8 @@
 Every distinct shingle set gets a signature of 128 minhash values (a byte of each is kept). Thirty-two orders sort the
 signatures, each rotated by four more values; neighbours with a common prefix of at least four values are candidates.
 The depth adapts to the region: a region of up to ``WHOLE`` rows is compared whole at the least depth; in a larger one a
-row meets the ``NEAR`` rows on either side, those with the longest common prefixes, and the head of its region. At a
+row meets the ``WHOLE`` rows on either side, those with the longest common prefixes, of which it keeps the ``NEAR`` best, and
+the hubs of its region, the rows most like a sample of it (such as the text that near copies were made of). At a
 similarity of 0.75 a pair shares no prefix of four in any order with a probability of 5e-6. Candidates whose signatures
 agree in too few places (more than five standard deviations below 0.75) are left out; all others are confirmed on full
 shingle sets, unless both are already connected by confirmed links, which changes no component.
@@ -34,7 +35,9 @@ from turnwise.llm.graph import components
 
 WIDTH = 5
 VALUES, ORDERS, DEPTH = 128, 32, 4
-WHOLE, NEAR = 24, 6
+WHOLE, NEAR = 24, 3
+#: Hubs of a larger region: the rows that agree most with a sample of it.
+HUBS, SAMPLE = 2, 64
 #: Places of two signatures that agree, at least: 128 * 0.75 less five standard deviations.
 AGREE = 71
 _M = np.uint64
@@ -162,42 +165,81 @@ def neighbours(reps: DataFrame, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t, np.int32)), pa.array([x.tobytes() for x in turned], pa.binary()), pa.array(who[i])], names=["t", "ordered", "rep"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted; the tail that may still meet later rows is carried from batch to batch."""
-        keep: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t, sig, who = b.column(0).to_numpy(), _sigs(b.column(1)), b.column(2).to_numpy()
-            prefix = (t.astype(np.int64) << 32) | (sig[:, 0].astype(np.int64) << 24) | (sig[:, 1].astype(np.int64) << 16) | (sig[:, 2].astype(np.int64) << 8) | sig[:, 3]
-            old = 0
-            if keep is not None:
-                old = len(keep[0])
-                prefix, sig, who = np.concatenate([keep[0], prefix]), np.concatenate([keep[1], sig]), np.concatenate([keep[2], who])
+        """Rows come sorted; the hubs and the tail of the region at a block's end are carried to the next block."""
+
+        def solve(prefix: np.ndarray, sig: np.ndarray, who: np.ndarray, old: int, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
+            """(rows, rows, agreement) of candidates with a row from ``old`` on; then the rows to carry."""
             n = len(prefix)
             at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
             size = np.diff(np.concatenate([at, [n]]))
-            first, sizes = np.repeat(at, size), np.repeat(size, size)
-            pairs = []
-            for d in range(1, min(WHOLE, n)):
-                i = np.flatnonzero((prefix[:-d] == prefix[d:]) & ((sizes[:-d] <= WHOLE) | (d <= NEAR)))
-                i = i[i + d >= old]
-                pairs.append((i, i + d))
-            late = np.flatnonzero((sizes > WHOLE) & (np.arange(n) - first > NEAR) & (np.arange(n) >= old))
-            pairs.append((first[late], late))
-            x, y = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
-            x, y = x[who[x] != who[y]], y[who[x] != who[y]]
-            for j in range(0, len(x), 200_000):
-                p, q = x[j : j + 200_000], y[j : j + 200_000]
-                agree = (sig[p] == sig[q]).sum(1)
+            # a region with a carried part is larger than what is here
+            large = np.repeat((size > WHOLE) | ((np.arange(len(size)) == 0) & whole), size)
+            found: list[tuple[np.ndarray, ...]] = []
+
+            def agreeing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+                parts = [(sig[x[k : k + 100_000]] == sig[y[k : k + 100_000]]).sum(1) for k in range(0, len(x), 100_000)]
+                agree = np.concatenate([np.zeros(0, np.int64), *parts])
                 ok = agree >= AGREE
-                a, c = who[p[ok]], who[q[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(agree[ok].astype(np.int32))], names=["a", "b", "agree"])
-            # the open region: its head and its last rows stay
-            start = int(at[-1])
-            stay = np.arange(max(start, n - WHOLE), n)
-            if start < stay[0]:
-                stay = np.concatenate([[start], stay])
-            keep = (prefix[stay], sig[stay], who[stay])
+                return x[ok], y[ok], agree[ok]
+
+            for d in range(1, min(WHOLE + 1, n)):
+                i = np.flatnonzero(prefix[:-d] == prefix[d:])
+                found.append(agreeing(i[i + d >= old], i[i + d >= old] + d))
+            x, y, agree = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in range(3))
+            small = ~large[x]
+            yield x[small], y[small], agree[small]
+            # of a large region each row keeps the best few of its neighbours
+            x, y, agree = x[~small], y[~small], agree[~small]
+            row, other, value = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([agree, agree])
+            by = np.lexsort((other, -value, row))
+            row, other, value = row[by], other[by], value[by]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
+            yield row[place < NEAR], other[place < NEAR], value[place < NEAR]
+            hubs = np.zeros(0, np.int64)
+            for s, m in zip(at.tolist(), size.tolist(), strict=True):
+                if not large[s]:
+                    hubs = np.zeros(0, np.int64)
+                    continue
+                sample = sig[s + np.unique(np.linspace(0, m - 1, min(SAMPLE, m)).astype(np.int64))]
+                total = np.concatenate([(sig[k : min(k + 512, s + m), None, :] == sample[None]).sum((1, 2)) for k in range(s, s + m, 512)])
+                hubs = s + np.argsort(-total, kind="stable")[:HUBS]
+                for h in hubs.tolist():
+                    r = np.arange(s, s + m)
+                    r = r[(r != h) & ((r >= old) | (h >= old))]
+                    yield agreeing(np.full(len(r), h), r)
+            last = int(at[-1])
+            tail = np.arange(max(last, n - WHOLE), n)
+            stay = np.union1d(hubs[hubs >= last], tail)
+            yield (stay, np.array([n - last > len(stay) or (whole and last == 0)]), stay)
+
+        keep: tuple | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal keep, held
+            parts = ([keep[:3]] if keep is not None else []) + held
+            old, whole = (len(keep[0]), keep[3]) if keep is not None else (0, False)
+            prefix, sig, who = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            *out, (stay, cut, _) = solve(prefix, sig, who, old, whole)
+            for x, y, agree in out:
+                x, y, agree = x[who[x] != who[y]], y[who[x] != who[y]], agree[who[x] != who[y]]
+                a, c = who[x], who[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
+            keep, held = (prefix[stay], sig[stay], who[stay], bool(cut[0])), []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = _sigs(b.column(1))
+            prefix = b.column(0).to_numpy().astype(np.int64) << 32
+            for d in range(DEPTH):
+                prefix = prefix | (sig[:, d].astype(np.int64) << (24 - 8 * d))
+            held.append((prefix, sig, b.column(2).to_numpy()))
+            if sum(len(h[0]) for h in held) >= 8192:
+                yield from block()
+        if held:
+            yield from block()
 
     rows = masked.mapInArrow(spread, "t int, ordered binary, rep bigint")
     return rows.repartitionByRange(parts, "t", "ordered", "rep").sortWithinPartitions("t", "ordered", "rep").mapInArrow(compare, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
