@@ -46,11 +46,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeats of 50 words that a smaller id has go; other texts stay as they are."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    hidden = docs.select("doc_id", *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(rest)])
-    cut = substrings.remove_repeats(hidden, text_col=f"_r{rest.index('text')}", carry=tuple(f"_r{i}" for i in range(len(rest))))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"_r{rest.index('text')}"))
-    out = cut.select("doc_id", *[(text if c == "text" else F.col(f"_r{i}")).alias(c) for i, c in enumerate(rest)])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"_r{i}" for i, c in enumerate(rest)}
+    hidden = docs.select("doc_id", F.col("text").alias("_t"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    cut = substrings.remove_repeats(hidden, text_col="_t", carry=tuple(names.values()), as_is=True)
+    out = cut.select("doc_id", F.col("kept_text").alias("text"), *[F.col(n).alias(c) for c, n in names.items()])
     return _length_follows(out).select(*docs.columns)
 
 

@@ -37,7 +37,16 @@ _LAST = np.iinfo(np.int64).max
 def _words(table: pa.Table):
     texts = [t or b"" for t in table.column("_text").cast(pa.binary()).to_pylist()]
     ids = table.column("_id").cast(pa.int64()).fill_null(_LAST).to_numpy()
-    return texts, ids, *words_of(texts)[:2]
+    # a slice at a time: the arrays by byte are larger than those by word
+    hashes, text, first, size = [np.zeros(0, _M)], [np.zeros(0, np.int64)], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= 1 << 20 or i + 1 == len(texts):
+            h, owner = words_of(texts[first : i + 1])[:2]
+            hashes.append(h)
+            text.append(owner + first)
+            first, size = i + 1, 0
+    return texts, ids, np.concatenate(hashes), np.concatenate(text)
 
 
 def _pack(keys: np.ndarray, flags: np.ndarray) -> bytes:
@@ -67,9 +76,11 @@ _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("data", pa.
 _SENT_DDL, _ANSWER_DDL = "bucket int, chunk int, data binary", "chunk int, bucket int, data binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), width: int = 50, chunk_bytes: int = 4 << 20, max_partitions: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), width: int = 50, chunk_bytes: int = 4 << 20, max_partitions: int = 20_000, as_is: bool = False) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_text (kept words joined by a space), repeats (word ranges), then ``carry``.
 
+    With ``as_is`` a text that loses nothing is given as it was (null too).
+
     A word goes if a window of ``width`` consecutive words that covers it also starts in a document with a smaller id.
     """
     block = width // 2
@@ -210,12 +221,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = np.concatenate([[0], np.cumsum(covered)])
         removed = total[bounds[1:]] - total[bounds[:-1]]
         kept_text, repeats = [], []
+        known = table.column("_text").is_valid().to_pylist()
         for i, t in enumerate(texts):
-            words = t.split()
             if not removed[i]:
-                kept_text.append(b" ".join(words))
+                kept_text.append((t if known[i] else None) if as_is else b" ".join(t.split()))
                 repeats.append([])
                 continue
+            words = t.split()
             mask = covered[bounds[i] : bounds[i + 1]]
             kept_text.append(b" ".join(words[j] for j in np.flatnonzero(~mask).tolist()))
             flips = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))

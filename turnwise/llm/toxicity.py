@@ -62,7 +62,7 @@ class TermCounter:
     def count(self, text: str | None) -> dict[int, int]:
         words = _WORD.findall(text.lower()) if text else []
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 250_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
