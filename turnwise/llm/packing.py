@@ -8,7 +8,8 @@ sources in the corpus, so all queues end together and only the last sequence can
 How it is spread: the order of windows is cut into blocks. A binary tree shares each queue's tokens out to the blocks in
 whole tokens, so the deficits of a partition are carried to the next one without running them one after another; inside a
 block the round-robin runs as it is. Any task can work out the schedule of any block from the totals of the queues, hence
-tokens are never shuffled: a document only needs its place in its queue, a prefix sum over task totals.
+tokens need not be shuffled: a document only needs its place in its queue, a prefix sum over task totals (broadcast up to
+``MAX_BROADCAST`` rows, joined beyond).
 The number of queues is at most ``MAX_QUEUES``; if there are more sources, they share queues by a hash.
 
 Defined results: a null or empty text is one separator token; a null source is a source of its own; rows that repeat an id
@@ -29,6 +30,8 @@ from turnwise.llm.bpe import TokenIds
 from turnwise.llm.common import short_batches, text_batches, written
 
 WINDOW, BLOCK_WINDOWS, QUANTUM, MAX_QUEUES = 1024, 256, 128, 64
+#: Rows of 24 bytes that are broadcast at most.
+MAX_BROADCAST = 500_000
 
 
 class Schedule:
@@ -153,11 +156,14 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, then the ids if asked for."""
     short_batches(docs.sparkSession)
     tokens = tokenize(docs, path, pattern, id_col, text_col, source_col, end)
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
+    found = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    totals = {r.queue: r.n for r in found}
     vector = [int(totals.get(q, 0)) for q in range(max(totals, default=-1) + 1)]
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("queue").alias("_q"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    if sum(r.rows for r in found) <= MAX_BROADCAST:  # a row for each task and queue; beyond that the tokens move to them
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, (F.col("queue") == F.col("_q")) & (F.col("part") == F.col("_p"))).select("id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids")
     kind = docs.schema[id_col].dataType.simpleString()
 
