@@ -53,3 +53,14 @@ def test_bench_build(spark, tmp_path):
     got = {r.id: r for r in read_manifest(spark, str(tmp_path / "o/manifest")).collect()}
     assert sorted(got) == ["mix_000", "mix_001"] and got["mix_001"].num_speakers == 3 and len(got["mix_000"].text.split()) == len(got["mix_000"].turns)
     assert spark.read.parquet(str(tmp_path / "o/audio.parquet")).count() == 2
+
+
+def test_bench_sweep(spark, tmp_path):
+    t = np.arange(32000) / 16000
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "audio/m0.wav").write_bytes(encode_wav(np.sin(2 * np.pi * 300 * t) * 0.5, 16000))
+    (tmp_path / "manifest.jsonl").write_text(json.dumps({"id": "m0", "wav": "audio/m0.wav", "num_speakers": 1, "duration": 2.0, "turns": [{"start": 0.0, "end": 2.0, "speaker": "A"}], "text": "speech"}) + "\n")
+    assert cli.main(["bench", "sweep", "--param", "pad", "--lo", "0", "--hi", "0.25", "--step", "0.25", "--manifest", str(tmp_path / "manifest.jsonl"), "--out", str(tmp_path / "r")]) == 0
+    (path,) = (tmp_path / "r").glob("*.json")
+    report = json.loads(path.read_text())
+    assert report["chosen_value"] == "0.00" and sorted(report["grid"]) == ["0.00", "0.25"] and report["default_value"] == "0.25"

@@ -20,6 +20,10 @@ from turnwise.sources import audio as sound
 from turnwise.streaming import models
 
 
+#: Lowest, highest and step of the grids.
+GRIDS = {"threshold": (0.30, 0.90, 0.05), "pad": (0.00, 0.40, 0.05)}
+
+
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="turnwise")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -61,8 +65,9 @@ def build_parser() -> argparse.ArgumentParser:
     grid.add_argument("--out", default=None, help="write the report here")
     grid.add_argument("--manifest", required=True)
     grid.add_argument("--collar", type=float, default=0.25)
+    grid.add_argument("--param", default="threshold", choices=sorted(GRIDS))
     for name in ("lo", "hi", "step"):
-        grid.add_argument(f"--{name}", type=float, default={"lo": 0.3, "hi": 0.9, "step": 0.05}[name])
+        grid.add_argument(f"--{name}", type=float, default=None, help="of the grid; each parameter has its own defaults")
     return parser
 
 
@@ -129,13 +134,18 @@ def main(argv: list[str] | None = None) -> int:
         from turnwise.operators.timeline import merge_regions, slice_windows
 
         c = models.ClusteredConfig()
-        embedded = plans.embed_windows(audio, slice_windows(merge_regions(plans.detect_regions(audio, vad), c.min_gap, c.min_duration, c.vad_pad)), embed).persist()
         order = manifest.select(F.col("id").alias("rec_id"), F.dense_rank().over(Window.orderBy("id")).alias("mix_idx"))
-        cells = plans.sweep_threshold(embedded, reference, sweep.grid(args.lo, args.hi, args.step), order, args.collar).persist()
+        bounds = [given if given is not None else known for given, known in zip((args.lo, args.hi, args.step), GRIDS[args.param], strict=True)]
+        values = sweep.grid(*bounds)
+        if args.param == "pad":
+            cells = plans.sweep_pad(audio, vad, embed, reference, values, order, args.collar).persist()
+        else:
+            regions = merge_regions(plans.detect_regions(audio, vad), c.min_gap, c.min_duration, c.vad_pad)
+            cells = plans.sweep_threshold(plans.embed_windows(audio, slice_windows(regions), embed).persist(), reference, values, order, args.collar).persist()
         rolled = sweep.roll_up(cells).persist()
         rolled.orderBy("value", "split").show(200, truncate=False)
         if args.out:
-            formats.write_report(formats.sweep_report(rolled, cells, "threshold", f"{c.distance_threshold:.2f}"), args.out)
+            formats.write_report(formats.sweep_report(rolled, cells, args.param, f"{c.vad_pad if args.param == 'pad' else c.distance_threshold:.2f}"), args.out)
         return 0
     audio = sound.read_audio(spark, args.audio)
     if args.command == "diarize":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -89,21 +90,25 @@ def benchmark(manifest: DataFrame, reference: DataFrame, hypothesis: DataFrame,
     return each, overall
 
 
-def sweep_threshold(embedded: DataFrame, reference: DataFrame, values: list[str], order: DataFrame, collar: float = 0.25, config: ClusteredConfig | None = None) -> DataFrame:
-    """Sweep cells of a grid of distance thresholds over windows that were embedded once.
-
-    Each value is a recording of its own (rec_id and value), so the whole grid is one plan. ``order``: (rec_id, mix_idx).
-    """
-    c, parts = config or ClusteredConfig(), []
-    for v in values:
-        at = replace(c, distance_threshold=float(v))
-        named = lambda t: t.withColumn("rec_id", F.concat("rec_id", F.lit(f"@{v}")))  # noqa: B023, E731
-        parts.append((v, score.der(named(reference), turns_of(named(embedded), at), collar), turns_of(named(embedded), at)))
-    cells = None
-    for v, scored, turns in parts:
-        count = turns.groupBy("rec_id").agg(F.count_distinct("speaker").cast("int").alias("num_speakers_hyp"))
-        one = scored.join(count, "rec_id", "left").withColumn("value", F.lit(v)).withColumn("rec_id", F.regexp_replace("rec_id", "@[^@]*$", ""))
-        cells = one if cells is None else cells.unionByName(one)
+def _cells(turns: dict[str, DataFrame], reference: DataFrame, order: DataFrame, collar: float) -> DataFrame:
+    """Sweep cells of the turns found at each value. The values' plans are one plan; ``order``: (rec_id, mix_idx)."""
+    parts = []
+    for value, found in turns.items():
+        count = found.groupBy("rec_id").agg(F.count_distinct("speaker").cast("int").alias("num_speakers_hyp"))
+        parts.append(score.der(reference, found, collar).join(count, "rec_id", "left").withColumn("value", F.lit(value)))
+    cells = reduce(DataFrame.unionByName, parts)
     known = reference.groupBy("rec_id").agg(F.count_distinct("speaker").cast("int").alias("num_speakers_ref"))
     cells = cells.join(known, "rec_id").join(order, "rec_id")
     return sweep.with_split(cells.select(F.col("rec_id").alias("mix_id"), "mix_idx", "value", F.col("missed").alias("miss"), "false_alarm", "confusion", F.col("total_reference").alias("ref_time"), "num_speakers_ref", F.coalesce("num_speakers_hyp", F.lit(0)).alias("num_speakers_hyp")))
+
+
+def sweep_threshold(embedded: DataFrame, reference: DataFrame, values: list[str], order: DataFrame, collar: float = 0.25, config: ClusteredConfig | None = None) -> DataFrame:
+    """Cells of a grid of distance thresholds over windows that were embedded once (persist them)."""
+    c = config or ClusteredConfig()
+    return _cells({v: turns_of(embedded, replace(c, distance_threshold=float(v))) for v in values}, reference, order, collar)
+
+
+def sweep_pad(audio: DataFrame, vad: VadFn, embed: EmbedFn, reference: DataFrame, values: list[str], order: DataFrame, collar: float = 0.25, config: ClusteredConfig | None = None) -> DataFrame:
+    """Cells of a grid of paddings: regions, windows and embeddings are those of each value."""
+    c = config or ClusteredConfig()
+    return _cells({v: diarize(audio, vad, embed, replace(c, vad_pad=float(v))) for v in values}, reference, order, collar)
