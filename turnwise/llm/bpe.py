@@ -18,8 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from turnwise.llm.common import columns, short_batches, text_batches
 
 FOLD_BYTES = 48
 #: Pieces that a task remembers at most; then it starts anew.
-REMEMBER = 400_000
+REMEMBER = 600_000
 _PRIME = 4294967291
 _EMPTY = 1 << 62
 _NONE, _EDGE = 65536, 65535
@@ -106,21 +108,25 @@ def fold_merges(pieces: Column, path: str) -> Column:
         """``body`` of a value that is computed once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
+    def joined(*parts: Column) -> Column:
+        """The arrays one behind the other; ``concat`` makes a lazy list for each call, which costs more than the merge."""
+        return F.flatten(F.array(*parts))
+
     def merge(ids: Column, known: Column, best: Column, at: Column) -> Column:
         """The pair at ``at`` becomes one token; only the ranks of its two new pairs are looked up."""
         keys = F.array(F.get(ids, at - F.lit(2)) * F.lit(65536) + best, best * F.lit(65536) + F.get(ids, at + F.lit(1)))
-        merged = F.concat(F.slice(ids, F.lit(1), at - F.lit(1)), F.array(best), F.slice(ids, at + F.lit(2), F.size(ids)))
-        left = F.concat(F.slice(known, F.lit(1), at - F.lit(2)), F.transform(keys, rank_of), F.slice(known, at + F.lit(2), F.size(known)))
+        merged = joined(F.slice(ids, F.lit(1), at - F.lit(1)), F.array(best), F.slice(ids, at + F.lit(2), F.size(ids)))
+        left = joined(F.slice(known, F.lit(1), at - F.lit(2)), F.transform(keys, rank_of), F.slice(known, at + F.lit(2), F.size(known)))
         return F.struct(merged.alias("ids"), left.alias("known"))
 
     def step(acc: Column, _: Column) -> Column:
         return bound(F.array_min(acc["known"]), lambda best: F.when(best < F.lit(_NONE), bound(F.array_position(acc["known"], best).cast("int"), lambda at: merge(acc["ids"], acc["known"], best, at))).otherwise(acc))
 
     def encode(piece: Column) -> Column:
-        ids = F.concat(edge, F.transform(piece, lambda b: F.get(single, b.cast("int"))), edge)
+        ids = joined(edge, F.transform(piece, lambda b: F.get(single, b.cast("int"))), edge)
         pairs = F.transform(F.slice(piece, F.lit(2), F.size(piece)), lambda b, i: F.get(first, F.get(piece, i).cast("int") * F.lit(256) + b.cast("int")))
         # an edge on either side pairs with nothing
-        start = F.struct(ids.alias("ids"), F.concat(none, pairs, none).alias("known"))
+        start = F.struct(ids.alias("ids"), joined(none, pairs, none).alias("known"))
         return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - F.lit(2)))
 
     return F.transform(pieces, encode)
@@ -163,17 +169,17 @@ def _split(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFra
         import regex
 
         find = regex.compile(pattern).findall
-        known: dict[str, int] = {}
+        known: dict[str, int] = defaultdict()
+        known.default_factory = known.__len__  # a new piece gets the next number
         for ids, texts in text_batches(batches, 2 << 20):
             fresh = len(known) > REMEMBER
             if fresh:
                 known.clear()
             had, numbers, bounds = len(known), [], [0]
             for t in texts:
-                for p in find(t.decode()):
-                    numbers.append(known.setdefault(p, len(known)))
+                numbers.extend(map(known.__getitem__, find(t.decode())))
                 bounds.append(len(numbers))
-            new = [p.encode() for p in list(known)[had:]]
+            new = [p.encode() for p in islice(known, had, None)]
             short = [p if len(p) <= FOLD_BYTES else b"" for p in new]
             flat = np.frombuffer(b"".join(short), np.uint8).astype(np.int16)
             inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in short])]), pa.int32()), pa.array(flat, pa.int16()))
