@@ -41,7 +41,9 @@ def wer_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFram
 
     last = F.aggregate(F.col(ref), first.cast(f"array<{cell}>"), row, lambda acc: F.element_at(acc, -1))
     n = F.size(ref)
-    out = pairs.withColumn("_r", last)
+    # rows are short but each costs the product of its lengths: dealt out evenly, whatever the files were
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = spread.withColumn("_r", last)
     return out.select(*pairs.columns, ratio(F.col("_r.c").cast("double"), n.cast("double")).alias("wer"), F.col("_r.s").alias("substitutions"), F.col("_r.d").alias("deletions"), F.col("_r.i").alias("insertions"), n.alias("reference_words"))
 
 
@@ -69,31 +71,41 @@ def overlap_matrix(intervals: DataFrame, reference: DataFrame, hypothesis: DataF
     return r.join(h.select("rec_id", "start", "hyp"), ["rec_id", "start"]).groupBy("rec_id", "ref", "hyp").agg(F.sum("dur").alias("seconds"))
 
 
+def active_labels(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
+    """(rec_id, start, dur, r, h): the labels active in each scored interval, as bags; one range join for both tables."""
+    edges = lambda t: t.select("rec_id", F.explode(F.array("start", "end")).alias("x"))
+    turns = reference.select("rec_id", "start", "end", F.col("speaker").alias("r"), F.lit(None).cast("string").alias("h")).unionByName(hypothesis.select("rec_id", "start", "end", F.lit(None).cast("string").alias("r"), F.col("speaker").alias("h")))
+    bounds = edges(turns)
+    if collar > 0:
+        holes = collar_holes(reference, collar)
+        bounds = bounds.unionByName(edges(holes))
+    parts = elementary_intervals(bounds).withColumn("mid", (F.col("start") + F.col("end")) / 2).withColumn("dur", F.col("end") - F.col("start"))
+    if collar > 0:
+        parts = stab(parts, holes, how="left_anti")
+    held = stab(parts, turns).select("rec_id", "start", "dur", F.col("_s_r").alias("r"), F.col("_s_h").alias("h"))
+    return held.groupBy("rec_id", "start", "dur").agg(F.collect_list("r").alias("r"), F.collect_list("h").alias("h"))
+
+
 def der(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
     """(rec_id, der, missed, false_alarm, confusion, total_reference, speaker_map) of every recording in either table.
 
     Active labels are bags: a label that is active twice counts twice. Without a reference everything is 0 and der NaN.
     """
-    intervals = scored_intervals(reference, hypothesis, collar)
-    r, h = active(intervals, reference, "ref"), active(intervals, hypothesis, "hyp")
-    pairs = r.join(h.select("rec_id", "start", "hyp"), ["rec_id", "start"])
+    held = active_labels(reference, hypothesis, collar)
+    pairs = held.select("rec_id", "dur", F.explode("r").alias("ref"), "h").select("rec_id", "dur", "ref", F.explode("h").alias("hyp"))
     mapping = optimal_mapping(pairs.groupBy("rec_id", "ref", "hyp").agg(F.sum("dur").alias("seconds")))
-    counts = r.select("rec_id", "start", "dur", F.lit(1).alias("r"), F.lit(0).alias("h")).unionByName(h.select("rec_id", "start", "dur", F.lit(0).alias("r"), F.lit(1).alias("h")))
-    counts = counts.groupBy("rec_id", "start").agg(F.max("dur").alias("dur"), F.sum("r").alias("r"), F.sum("h").alias("h"))
-    sums = counts.groupBy("rec_id").agg(
-        F.sum(F.col("dur") * F.col("r")).alias("total"), F.sum(F.col("dur") * F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("missed"),
-        F.sum(F.col("dur") * F.greatest(F.lit(0), F.col("h") - F.col("r"))).alias("false_alarm"), F.sum(F.col("dur") * F.least("r", "h")).alias("both"),
-    )
-    mapped = h.join(mapping.select("rec_id", "hyp", "ref"), ["rec_id", "hyp"]).join(r.select("rec_id", "start", "ref").distinct(), ["rec_id", "start", "ref"], "left_semi")
-    correct = mapped.groupBy("rec_id").agg(F.sum("dur").alias("correct"))
     names = mapping.groupBy("rec_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hyp", "ref")))).alias("speaker_map"))
-    known = reference.select("rec_id").distinct().withColumn("_ref", F.lit(True))
-    every = reference.select("rec_id").unionByName(hypothesis.select("rec_id")).distinct()
-    out = every.join(known, "rec_id", "left").join(sums, "rec_id", "left").join(correct, "rec_id", "left").join(names, "rec_id", "left")
-    part = lambda c: F.when(F.col("_ref"), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
-    confusion = F.col("both") - F.coalesce("correct", F.lit(0.0))
-    errors = part(F.col("missed") + F.col("false_alarm") + confusion)
-    return out.select("rec_id", ratio(errors, part(F.col("total"))).alias("der"), part(F.col("missed")).alias("missed"), part(F.col("false_alarm")).alias("false_alarm"), part(confusion).alias("confusion"), part(F.col("total")).alias("total_reference"), "speaker_map")
+    nr, nh = F.size("r"), F.size("h")
+    right = F.size(F.filter("h", lambda x: F.coalesce(F.array_contains("r", F.try_element_at("speaker_map", x)), F.lit(False))))
+    scored = held.join(names, "rec_id", "left").withColumn("right", F.when(F.col("speaker_map").isNull(), 0).otherwise(right))
+    part = lambda n: F.sum(F.col("dur") * n)
+    sums = scored.groupBy("rec_id").agg(part(nr).alias("total"), part(F.greatest(F.lit(0), nr - nh)).alias("missed"), part(F.greatest(F.lit(0), nh - nr)).alias("false_alarm"), part(F.least(nr, nh) - F.col("right")).alias("confusion"))
+    every = reference.select("rec_id", F.lit(1).alias("ref")).unionByName(hypothesis.select("rec_id", F.lit(0).alias("ref"))).groupBy("rec_id").agg(F.max("ref").alias("ref"))
+    out = every.join(sums, "rec_id", "left").join(names, "rec_id", "left")
+    seconds = lambda c: F.when(F.col("ref") == 1, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
+    named = {c: seconds(F.col(c)) for c in ("missed", "false_alarm", "confusion", "total")}
+    errors = named["missed"] + named["false_alarm"] + named["confusion"]
+    return out.select("rec_id", ratio(errors, named["total"]).alias("der"), named["missed"].alias("missed"), named["false_alarm"].alias("false_alarm"), named["confusion"].alias("confusion"), named["total"].alias("total_reference"), F.when(F.col("ref") == 1, F.col("speaker_map")).alias("speaker_map"))
 
 
 def pooled_der(scores: DataFrame, *keys: str) -> DataFrame:
