@@ -45,9 +45,11 @@ def optimal_mapping(overlaps: DataFrame) -> DataFrame:
     """
 
     def solve(table: pd.DataFrame) -> pd.DataFrame:
-        grid = table.pivot_table(index="ref", columns="hyp", values="seconds", aggfunc="sum", fill_value=0.0).sort_index(axis=0).sort_index(axis=1)
-        values = grid.to_numpy()
-        rows = [(table["rec_id"].iloc[0], grid.columns[j], grid.index[i], values[i, j]) for i, j in best_assignment(values) if values[i, j] > 0]
+        refs, i = np.unique(table["ref"].to_numpy(str), return_inverse=True)
+        hyps, j = np.unique(table["hyp"].to_numpy(str), return_inverse=True)
+        values = np.zeros((len(refs), len(hyps)))
+        np.add.at(values, (i, j), table["seconds"].to_numpy())
+        rows = [(table["rec_id"].iloc[0], str(hyps[b]), str(refs[a]), values[a, b]) for a, b in best_assignment(values) if values[a, b] > 0]
         return pd.DataFrame(rows, columns=["rec_id", "hyp", "ref", "seconds"])
 
     return overlaps.groupBy("rec_id").applyInPandas(solve, "rec_id string, hyp string, ref string, seconds double")
