@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import ratio
@@ -10,41 +13,96 @@ from turnwise.operators.assign import optimal_mapping
 from turnwise.operators.timeline import collar_holes, elementary_intervals, stab
 
 
-def wer_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Adds wer (NaN on an empty reference), substitutions, deletions, insertions, reference_words to pairs of word arrays.
+#: Words of a batch of alignments at most; a longer pair is aligned alone.
+ALIGN_WORDS = 1 << 15
 
-    A fold over the reference rows of the edit table; a cell holds cost and counts. Of equal costs a match goes before a
-    substitution, a deletion, an insertion.
-    """
-    cell = "struct<c:int,s:int,d:int,i:int>"
 
-    def made(c: Column, s: Column, d: Column, i: Column) -> Column:
-        return F.struct(c.cast("int").alias("c"), s.cast("int").alias("s"), d.cast("int").alias("d"), i.cast("int").alias("i"))
+def edit_counts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(pairs, 3): substitutions, deletions, insertions of pairs of number arrays (reference, hypothesis).
+
+    The edit table by its diagonals, for pairs of like lengths at once; three diagonals are held, so memory grows with the
+    length alone. A cell is one integer: cost, rank of the step, substitutions, deletions. The least one is the cheapest
+    step and, of equal costs, a match goes before a substitution, a deletion, an insertion.
+    """
+    out = np.zeros((len(pairs), 3), np.int64)
+    order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
+    at = 0
+    while at < len(order):
+        end, most = at, 0
+        while end < len(order) and (end == at or max(most, *map(len, pairs[order[end]])) * (end - at + 1) <= ALIGN_WORDS):
+            most = max(most, *map(len, pairs[order[end]]))
+            end += 1
+        group = order[at:end]
+        out[group] = _align([pairs[p] for p in group])
+        at = end
+    return out
+
+
+def _align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    n, m = np.array([len(r) for r, _ in pairs]), np.array([len(h) for _, h in pairs])
+    rows, cols = int(n.max()), int(m.max())
+    bits, kind = (10, np.uint32) if max(rows, cols) < 1000 else (20, np.uint64)
+    if max(rows, cols) + 2 >= 1 << bits:
+        raise ValueError(f"a text of {max(rows, cols)} words is too long to be aligned")
+    deletion, rank, cost = kind(1), 2 * bits, 2 * bits + 2
+    substituted = kind((1 << bits) + (1 << cost))
+    deleted, inserted = kind((1 << cost) + (1 << rank) + 1), kind((1 << cost) + (2 << rank))
+    clear = kind(((1 << (2 * bits + 2 + bits)) - 1) ^ (3 << rank))
+    ref, turned = np.full((rows, len(pairs)), -1, np.int32), np.full((cols, len(pairs)), -2, np.int32)
+    for g, (r, h) in enumerate(pairs):
+        ref[: len(r), g] = r
+        turned[cols - len(h) :, g] = h[::-1]
+    ends: dict[int, list[int]] = {}
+    for g, k in enumerate((n + m).tolist()):
+        ends.setdefault(k, []).append(g)
+    cells = [np.zeros((rows + 1, len(pairs)), kind) for _ in range(3)]
+    step, differs = np.zeros((rows + 1, len(pairs)), kind), np.zeros((rows + 1, len(pairs)), bool)
+    last = np.zeros(len(pairs), kind)
+    for k in range(rows + cols + 1):
+        now, one, two = cells[k % 3], cells[(k - 1) % 3], cells[(k - 2) % 3]
+        if k <= cols:
+            now[0] = kind(k << cost)
+        if k <= rows:
+            now[k] = kind((k << cost) + k * int(deletion))
+        lo, hi = max(1, k - cols), min(rows, k - 1) + 1
+        if lo < hi:
+            here, other = now[lo:hi], step[: hi - lo]
+            np.not_equal(ref[lo - 1 : hi - 1], turned[cols - k + lo : cols - k + hi], out=differs[: hi - lo])
+            np.multiply(differs[: hi - lo], substituted, out=here)
+            here += two[lo - 1 : hi - 1]
+            np.add(one[lo - 1 : hi - 1], deleted, out=other)
+            np.minimum(here, other, out=here)
+            np.add(one[lo:hi], inserted, out=other)
+            np.minimum(here, other, out=here)
+            here &= clear
+        for g in ends.get(k, ()):
+            last[g] = now[n[g], g]
+    v = last.astype(np.int64)
+    s, d = (v >> bits) & ((1 << bits) - 1), v & ((1 << bits) - 1)
+    return np.stack([s, d, (v >> cost) - s - d], 1)
 
-    zero = F.lit(0)
-    first = F.transform(F.sequence(zero, F.size(hyp)), lambda j: made(j, zero, zero, j))
 
-    def row(above: Column, word: Column) -> Column:
-        down = lambda u: made(u["c"] + 1, u["s"], u["d"] + 1, u["i"])
+def wer_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Adds wer (NaN on an empty reference), substitutions, deletions, insertions, reference_words to pairs of word arrays.
 
-        def cells(acc: Column, j: Column) -> Column:
-            diagonal, up, left = F.get(above, j), F.get(above, j + 1), F.element_at(acc, -1)
-            differs = F.when(F.get(F.col(hyp), j) == word, 0).otherwise(1)
-            a = made(diagonal["c"] + differs, diagonal["s"] + differs, diagonal["d"], diagonal["i"])
-            b, c = down(up), made(left["c"] + 1, left["s"], left["d"], left["i"] + 1)
-            # a match costs what its diagonal costs and is taken if it is as cheap as any
-            best = F.when((a["c"] <= b["c"]) & (a["c"] <= c["c"]), a).when(b["c"] <= c["c"], b).otherwise(c)
-            return F.array_append(acc, best)
+    Whole arrays are aligned, see ``edit_counts``; a null array gives nulls.
+    """
 
-        start = F.array(down(F.get(above, zero))).cast(f"array<{cell}>")
-        return F.aggregate(F.when(F.size(hyp) > 0, F.sequence(zero, F.size(hyp) - 1)).otherwise(F.expr("cast(array() as array<int>)")), start, cells)
+    def align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        words = pa.concat_arrays([refs.flatten().cast(pa.string()), hyps.flatten().cast(pa.string())]).dictionary_encode().indices
+        r, h = words[: len(refs.flatten())].fill_null(-1).to_numpy(), words[len(refs.flatten()) :].fill_null(-2).to_numpy()
+        known = pc.and_(refs.is_valid(), hyps.is_valid()).to_pylist()
+        sizes = [np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())]) for x in (refs, hyps)]
+        counts = edit_counts([(r[sizes[0][i] : sizes[0][i + 1]], h[sizes[1][i] : sizes[1][i + 1]]) for i in range(len(known))])
+        fields = [pa.array(counts[:, j].astype(np.int32)) for j in range(3)]
+        return pa.StructArray.from_arrays(fields, ["s", "d", "i"], mask=pa.array([not k for k in known], pa.bool_()))
 
-    last = F.aggregate(F.col(ref), first.cast(f"array<{cell}>"), row, lambda acc: F.element_at(acc, -1))
     n = F.size(ref)
-    # rows are short but each costs the product of its lengths: dealt out evenly, whatever the files were
+    # a row costs the product of its lengths: dealt out evenly, whatever the files were
     spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = spread.withColumn("_r", last)
-    return out.select(*pairs.columns, ratio(F.col("_r.c").cast("double"), n.cast("double")).alias("wer"), F.col("_r.s").alias("substitutions"), F.col("_r.d").alias("deletions"), F.col("_r.i").alias("insertions"), n.alias("reference_words"))
+    out = spread.withColumn("_r", F.arrow_udf(align, "s int, d int, i int")(F.col(ref), F.col(hyp)))
+    errors = F.col("_r.s") + F.col("_r.d") + F.col("_r.i")
+    return out.select(*pairs.columns, ratio(errors.cast("double"), n.cast("double")).alias("wer"), F.col("_r.s").alias("substitutions"), F.col("_r.d").alias("deletions"), F.col("_r.i").alias("insertions"), n.alias("reference_words"))
 
 
 def scored_intervals(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
