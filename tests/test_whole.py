@@ -48,3 +48,23 @@ def test_error_rates_are_of_whole_texts(spark, tmp_path):
     assert {r.doc_id: (r.substitutions, r.deletions, r.insertions, r.reference_words) for r in got} == want
     (pooled,) = queries.queries()["wer_pooled"](spark, str(tmp_path)).collect()
     assert pooled.wer == pytest.approx(sum(sum(x[:3]) for x in want.values()) / sum(x[3] for x in want.values()), abs=1e-8)
+
+
+@pytest.mark.parametrize("paired", [1024, 40])
+def test_partners_among_many_like_texts(spark, monkeypatch, paired):
+    """300 texts of one template at similarities just below 0.75, with few true partners just above."""
+    from turnwise.llm import minhash
+
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(200)]
+    tails = [[word() for _ in range(38)] for _ in range(300)]
+    for k in range(12):  # a common tail of a few words more lifts a pair over 0.75
+        tails[150 + k][:10] = tails[k][:10]
+    rows = [(i, " ".join(base + t)) for i, t in enumerate(tails)]
+    rng.shuffle(rows)
+    want = {i: c for i, (_, c) in minhash.brute(rows).items()}
+    assert len(set(want.values())) == 288
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want

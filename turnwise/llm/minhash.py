@@ -1,18 +1,19 @@
 """Operator 7. MinHash near-dedup by an LSH forest.
 
 Every distinct shingle set gets a signature of 128 minhash values (a byte of each is kept). Thirty-two orders sort the
-signatures, each rotated by four more values; neighbours with a common prefix of at least four values are candidates.
-The depth adapts to the region: a region of up to ``WHOLE`` rows is compared whole at the least depth; in a larger one a
+signatures, each rotated by four more values; rows with a common prefix of at least four values are candidates.
+A first pass connects most of them cheaply: a region of up to ``WHOLE`` rows is compared whole; in a larger one a
 row meets the ``WHOLE`` rows on either side, those with the longest common prefixes, of which it keeps the ``NEAR`` best, and
-the hubs of its region, the rows most like a sample of it (such as the text that near copies were made of). At a
-similarity of 0.75 a pair shares no prefix of four in any order with a probability of 5e-6. Candidates whose signatures
+the hubs of its region, the rows most like a sample of it (such as the text that near copies were made of). A second pass
+takes every region, of any size, that is not of one component yet, and compares all its pairs of different components,
+blocks of ``PAIRED`` rows against blocks; so the first pass decides on time, not on results. At a similarity of 0.75 a pair shares no prefix of four in any order with a probability of 5e-6. Candidates whose signatures
 agree in too few places (more than five standard deviations below 0.75) are left out; all others are confirmed on full
 shingle sets, unless both are already connected by confirmed links, which changes no component.
 
 How it is spread: equal sets are one class from the start, so exact copies cost one row each. Regions are cut by range
 partitions of the sorted orders, so no region, however large, has to fit in a task. Only rows that share a prefix with
 another row enter the orders; that filter sends one row per prefix and task. Confirming goes in two rounds: the best candidate
-of each row, then every candidate that joins two components; a row has at most a fixed number of candidates. Components come from stars over written tables. What is broadcast is
+of each row, then every candidate that joins two components; pairs of the second pass follow. Components come from stars over written tables. What is broadcast is
 a filter of fixed size that keeps texts without candidates from moving.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer than five words has its
@@ -38,6 +39,8 @@ VALUES, ORDERS, DEPTH = 128, 32, 4
 WHOLE, NEAR = 24, 3
 #: Hubs of a larger region: the rows that agree most with a sample of it.
 HUBS, SAMPLE = 2, 64
+#: Rows of a block of the second pass, about.
+PAIRED = 1024
 #: Places of two signatures that agree, at least: 128 * 0.75 less five standard deviations.
 AGREE = 71
 _M = np.uint64
@@ -149,9 +152,8 @@ def with_company(reps: DataFrame, parts: int) -> DataFrame:
     return sent.repartition(parts, "prefix").mapInArrow(meet, "rep bigint, mask bigint").groupBy("rep").agg(F.expr("bit_or(mask)").alias("mask"))
 
 
-def neighbours(reps: DataFrame, parts: int) -> DataFrame:
-    """(a, b, agree): candidate pairs a < b from the sorted orders."""
-    masked = reps.select("rep", "sig").join(with_company(reps, parts).withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r")).select("rep", "sig", "mask")
+def neighbours(masked: DataFrame, parts: int) -> DataFrame:
+    """(a, b, agree): candidate pairs a < b from the sorted orders of (rep, sig, mask)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,6 +247,72 @@ def neighbours(reps: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, "t", "ordered", "rep").sortWithinPartitions("t", "ordered", "rep").mapInArrow(compare, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def unconnected(masked: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """(a, b): every pair a < b of different components (node, component) with a common prefix in an order and enough agreement.
+
+    Regions of one component are left out. The others are cut into blocks by a hash, and each block meets each other one.
+    """
+    known = masked.join(labels.withColumnRenamed("node", "_n"), F.col("rep") == F.col("_n"), "left").select("rep", "sig", "mask", F.coalesce("component", "rep").alias("component"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys, mask = _prefixes(_sigs(b.column(1))).astype(np.int64), b.column(2).to_numpy()
+                row, order = np.nonzero((mask[:, None] >> np.arange(ORDERS)) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, order]), b.column(0).take(pa.array(row)), b.column(3).take(pa.array(row))], names=["key", "rep", "component"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by pair of blocks."""
+
+        def solve(group: np.ndarray, same: np.ndarray, own: np.ndarray, component: np.ndarray, who: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.concatenate([at, [len(group)]]))
+            few = np.repeat(size <= WHOLE, size)
+
+            def agreeing(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                ok = (component[x] != component[y]) & (same[x] | (own[x] != own[y]))
+                x, y = x[ok], y[ok]
+                parts = [(sig[x[k : k + 100_000]] == sig[y[k : k + 100_000]]).sum(1) for k in range(0, len(x), 100_000)]
+                ok = np.concatenate([np.zeros(0, np.int64), *parts]) >= AGREE
+                a, c = who[x[ok]], who[y[ok]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+
+            for d in range(1, min(WHOLE, len(group))):
+                x = np.flatnonzero((group[:-d] == group[d:]) & few[:-d])
+                yield agreeing(x, x + d)
+            for s, m in zip(at[size > WHOLE].tolist(), size[size > WHOLE].tolist(), strict=True):
+                for k in range(s, s + m, 64):
+                    x, y = np.meshgrid(np.arange(k, min(k + 64, s + m)), np.arange(k + 1, s + m), indexing="ij")
+                    yield agreeing(x[x < y], y[x < y])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        names, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, i, j, own, component, who = (b.column(c).to_numpy() for c in range(6))
+            new = np.concatenate([[last is None or last != (key[0], i[0], j[0])], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            group, last = names + np.cumsum(new), (key[-1], i[-1], j[-1])
+            names = int(group[-1])
+            held.append((group, i == j, own, component, who, _sigs(b.column(6))))
+            if sum(len(h[0]) for h in held) >= 8192:
+                cols = [np.concatenate([h[c] for h in held]) for c in range(6)]
+                done = int(np.searchsorted(cols[0], names))
+                if done:
+                    yield from solve(*[c[:done] for c in cols])
+                held = [tuple(c[done:] for c in cols)]
+        if held:
+            yield from solve(*[np.concatenate([h[c] for h in held]) for c in range(6)])
+
+    rows = known.mapInArrow(spread, "key bigint, rep bigint, component bigint")
+    regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    regions = regions.select(F.col("key").alias("_k"), F.ceil(F.col("n") / PAIRED).cast("int").alias("blocks"))
+    members = rows.join(regions, F.col("key") == F.col("_k")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.join(masked.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "rep", "sig")
+    return met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def pack_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(rep, packed): compressed texts of the wanted ids (rep), to be sent to the pairs.
 
@@ -303,10 +371,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(sketch(docs, id_col, text_col), "sketches")
     reps = sets.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = written(reps, "classes")
-    pairs = written(neighbours(classes, parts), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
-    texts = written(pack_texts(docs, id_col, text_col, wanted), "texts")
-    labels = components_by_rounds(pairs, texts)
+    company = with_company(classes, parts).withColumnRenamed("rep", "_r")
+    masked = written(classes.join(company, F.col("rep") == F.col("_r")).select("rep", "sig", "mask"), "company")
+    pairs = written(neighbours(masked, parts), "pairs")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = written(some.select(F.col("a").alias("rep")).unionByName(some.select(F.col("b").alias("rep"))).distinct(), "wanted")
+        return written(pack_texts(docs, id_col, text_col, wanted), "texts")
+
+    labels = written(components_by_rounds(pairs, texts_of(pairs)), "labels")
+    # whatever the sorted neighbours and hubs left apart; the pairs among those are settled
+    apart = written(unconnected(masked, labels, parts).join(pairs, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        links = written(confirm(apart, texts_of(apart)), "checked").where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     member = classes.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     kind = docs.schema[id_col].dataType
     return sets.select("id", "n_shingles", "key").join(member, "key", "left").select(
