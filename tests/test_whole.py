@@ -68,3 +68,38 @@ def test_partners_among_many_like_texts(spark, monkeypatch, paired):
     assert len(set(want.values())) == 288
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("sources", [3, 150, 5000])
+def test_every_source_keeps_its_proportion(spark, monkeypatch, sources):
+    """Windows hold every source by its share, also where sources are stored one after another and share queues."""
+    from turnwise.llm import packing
+
+    rng = random.Random(6)
+    totals = [rng.randrange(1, 1200 if sources > 200 else 20_000) for _ in range(sources)]
+    mix, held = packing.Mixture(totals), np.zeros((-(-sum(totals) // packing.WINDOW), sources))
+    for q, t in enumerate(totals):
+        done = 0
+        for start, n, w, o in sorted(mix.pieces(q, 0, t)):
+            assert start == done and 0 <= o and o + n <= packing.WINDOW
+            done += n
+            held[w, q] += n
+        assert done == t
+    assert (held.sum(1)[:-1] == packing.WINDOW).all()
+    ahead = np.cumsum(held, 0) - np.arange(1, len(held) + 1)[:, None] * packing.WINDOW * np.array(totals) / sum(totals)
+    assert np.abs(ahead[:-1]).max() < 2 * packing.WINDOW
+
+
+def test_sources_that_share_queues_are_interleaved(spark):
+    from turnwise.llm import packing
+    from turnwise.llm.queries import split_pattern, tokenizer_file
+
+    rows = [(100 * s + i, "some plain words of a text " * 50, f"s{s}") for s in range(130) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), split_pattern()).collect()
+    half, early, all_ = max(p.sequence_id for p in pieces) / 2, {}, {}
+    for p in pieces:
+        s = p.doc_id // 100
+        all_[s] = all_.get(s, 0) + p.length
+        early[s] = early.get(s, 0) + p.length * (p.sequence_id < half)
+    assert len(all_) == 130 and all(0.25 < early[s] / n < 0.75 for s, n in all_.items())

@@ -10,7 +10,9 @@ whole tokens, so the deficits of a partition are carried to the next one without
 block the round-robin runs as it is. Any task can work out the schedule of any block from the totals of the queues, hence
 tokens need not be shuffled: a document only needs its place in its queue, a prefix sum over task totals (broadcast up to
 ``MAX_BROADCAST`` rows, joined beyond).
-The number of queues is at most ``MAX_QUEUES``; if there are more sources, they share queues by a hash.
+The number of queues of a round-robin is at most ``MAX_QUEUES``. If there are more sources, they share queues, and a shared
+queue is itself dealt from its sources by a deficit round-robin, in as many levels as it takes; so every source keeps its
+deficit. Sources beyond that number go by a 64-bit hash of the name; its totals (16 bytes a source) are known to each task.
 
 Defined results: a null or empty text is one separator token; a null source is a source of its own; rows that repeat an id
 are packed one by one; an empty table gives no pieces; columns not named are not read.
@@ -18,6 +20,7 @@ are packed one by one; an empty table gives no pieces; columns not named are not
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -119,8 +122,33 @@ class Schedule:
         return out
 
 
+class Mixture:
+    """Schedules in levels: where sources share a queue, a schedule of their own gives the order of its tokens."""
+
+    def __init__(self, totals: list[int]) -> None:
+        self.shared = [totals[q::MAX_QUEUES] for q in range(MAX_QUEUES)] if len(totals) > MAX_QUEUES else None
+        self.schedule = Schedule([sum(t) for t in self.shared] if self.shared else totals)
+        self.below: dict[int, Mixture] = {}
+
+    def queue(self, source: int) -> int:
+        return source % MAX_QUEUES if self.shared else source
+
+    def pieces(self, source: int, place: int, length: int) -> list[tuple[int, int, int, int]]:
+        """As those of ``Schedule``, by the number of a source."""
+        if not self.shared:
+            return self.schedule.pieces(source, place, length)
+        q = self.queue(source)
+        if q not in self.below:
+            self.below[q] = Mixture(self.shared[q])
+        inner, out = self.below[q], []
+        for start, n, window, offset in inner.pieces(source // MAX_QUEUES, place, length):
+            at = window * inner.schedule.window + offset
+            out.extend((start + s, m, w, o) for s, m, w, o in self.schedule.pieces(q, at, n))
+        return out
+
+
 def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, source_col: str, end: int) -> DataFrame:
-    """A written table (part, queue, before, id, n, ids): tokens with the end token, and the queue's tokens before in this part."""
+    """A written table (part, queue, before, id, n, ids): tokens with the end token, and the source's tokens before in this part."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("source"))
     names = sorted(r.source for r in rows.select("source").distinct().limit(MAX_QUEUES + 1).collect())
     queues = {s: i for i, s in enumerate(names)} if len(names) <= MAX_QUEUES else None
@@ -141,15 +169,15 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
             tokens, bounds = tokenizer.encode(texts)
             tokens = np.insert(tokens, bounds[1:], end)
             bounds = bounds + np.arange(len(bounds))
-            which = [queues[k["source"]] if queues else zlib.crc32(k["source"].encode()) % MAX_QUEUES for k in keys]
+            which = [queues[k["source"]] if queues else int.from_bytes(hashlib.blake2b(k["source"].encode(), digest_size=8).digest(), "little", signed=True) for k in keys]
             ahead = []
             for q, n in zip(which, np.diff(bounds).tolist(), strict=True):
                 ahead.append(before.get(q, 0))
                 before[q] = ahead[-1] + n
             data = tokens.astype("<u2" if tokenizer.size <= 65536 else "<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(which, pa.int32()), pa.array(ahead, pa.int64()), pa.array([k["id"] for k in keys], id_type), pa.array(np.diff(bounds), pa.int64()), pa.array([data[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["part", "queue", "before", "id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(which, pa.int64()), pa.array(ahead, pa.int64()), pa.array([k["id"] for k in keys], id_type), pa.array(np.diff(bounds), pa.int64()), pa.array([data[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["part", "queue", "before", "id", "n", "ids"])
 
-    return written(rows.mapInArrow(run, f"part int, queue int, before bigint, id {kind}, n bigint, ids binary"), "tokens")
+    return written(rows.mapInArrow(run, f"part int, queue bigint, before bigint, id {kind}, n bigint, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end: int = 0, with_ids: bool = False) -> DataFrame:
@@ -157,21 +185,21 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     short_batches(docs.sparkSession)
     tokens = tokenize(docs, path, pattern, id_col, text_col, source_col, end)
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
-    found = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    totals = {r.queue: r.n for r in found}
-    vector = [int(totals.get(q, 0)) for q in range(max(totals, default=-1) + 1)]
+    found = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy("queue").toArrow()
+    names, totals = found.column("queue").to_numpy(), found.column("n").to_numpy()
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("queue").alias("_q"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    if sum(r.rows for r in found) <= MAX_BROADCAST:  # a row for each task and queue; beyond that the tokens move to them
+    if sum(found.column("rows").to_pylist()) <= MAX_BROADCAST:  # a row for each task and queue; beyond that the tokens move to them
         bases = F.broadcast(bases)
     placed = tokens.join(bases, (F.col("queue") == F.col("_q")) & (F.col("part") == F.col("_p"))).select("id", "queue", (F.col("base") + F.col("before")).alias("place"), "n", "ids")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(vector)
+        schedule = Mixture(totals.tolist())
         for b in batches:
             row, cols, parts = [], [], []
-            for i, (q, place, n, ids) in enumerate(zip(*[b.column(c).to_pylist() for c in range(1, 5)], strict=True)):
+            sources = np.searchsorted(names, b.column(1).to_numpy()).tolist()
+            for i, (q, place, n, ids) in enumerate(zip(sources, *[b.column(c).to_pylist() for c in range(2, 5)], strict=True)):
                 data = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
                 for start, length, window, offset in schedule.pieces(q, place, n):
                     piece = data[4 * start : 4 * (start + length)]
@@ -181,6 +209,7 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                         parts.append(piece)
             c = np.array(cols, np.int64).reshape(-1, 6)
             at = pa.array(np.array(row, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *[pa.array(c[:, j]) for j in range(6)], b.column(1).take(at), *([pa.array(parts, pa.binary())] if with_ids else [])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", *(["ids"] if with_ids else [])])
+            queue = pa.array([schedule.queue(q) for q in sources], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *[pa.array(c[:, j]) for j in range(6)], queue.take(at), *([pa.array(parts, pa.binary())] if with_ids else [])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", *(["ids"] if with_ids else [])])
 
     return placed.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int" + ", ids binary" * with_ids)
