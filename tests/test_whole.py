@@ -103,3 +103,20 @@ def test_sources_that_share_queues_are_interleaved(spark):
         all_[s] = all_.get(s, 0) + p.length
         early[s] = early.get(s, 0) + p.length * (p.sequence_id < half)
     assert len(all_) == 130 and all(0.25 < early[s] / n < 0.75 for s, n in all_.items())
+
+
+def test_terms_of_clean_texts_and_covered_ones_count(spark):
+    """A term in 60% of toxic and 10% of clean examples, and one of examples that have four others, are in the vocabulary."""
+    from turnwise.llm import toxicity
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 10 == 0
+        words = [f"p{rng.randrange(400)}" for _ in range(30)]
+        words += ["often"] * (rng.random() < (0.6 if bad else 0.1)) + [f"bad{k}" for k in range(8)] * bad
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    vocabulary = toxicity.fit(docs, marks).vocabulary
+    assert {"often", *(f"bad{k}" for k in range(8))} <= set(vocabulary)

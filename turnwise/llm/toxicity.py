@@ -1,12 +1,12 @@
 """Operator 10. Toxicity by the nearest labelled examples.
 
 A bounded, hash-ordered sample of labelled rows (``MAX_EXAMPLES``) gives the examples. Terms are lower-cased words and word
-beginnings of four to six letters; the vocabulary holds the terms whose presence depends on the label in the examples
-(G-squared), at most ``MAX_TERMS``. Their document frequencies are counted over the whole corpus. Examples lie in an
+beginnings of four to six letters; the vocabulary holds all terms that stand in a larger share of the toxic examples than of
+the others and whose presence depends on the label (G-squared). Their document frequencies are counted over the whole corpus. Examples lie in an
 inverted index with blocks of 64 examples and the largest weight of each term in each block; a query visits blocks in the
 order of their bounds and stops when no block can improve the exact top ``NEIGHBOURS`` by TF-IDF cosine. The neighbours'
 labels, weighted by squared cosine, give a vote; a logistic curve fitted on leave-one-out votes of the examples turns it
-into a score. The neighbours and cosines are the evidence. Index and vocabulary are bounded by the two parameters, so
+into a score. The neighbours and cosines are the evidence. Index and vocabulary are bounded by the examples, so
 they are broadcast; scoring is one pass over the corpus without a shuffle.
 
 Defined results: a score depends on the text alone; null and empty texts, and texts without a term of the vocabulary,
@@ -27,17 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import columns, short_batches
+from turnwise.llm.common import columns, short_batches, written
 
 MAX_EXAMPLES = 30_000
-MAX_TERMS = 4096
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term must stand in so many toxic examples, and depend on the label by so much.
-LEAST_EXAMPLES = 4
+#: A term must depend on the label by so much.
 LEAST_G2 = 15.0
-#: A toxic example that has so many terms of the vocabulary needs no further ones.
-COVER = 4
 #: The vote of an empty neighbourhood weighs as much as a neighbour at cosine 0.3.
 PRIOR = 0.09
 
@@ -180,16 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n[""] = totals
         yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], names=["term", "n1", "n0"])
 
-    counted = examples.select("_t", "_y").mapInArrow(presence, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    frequent = counted.where((F.col("term") == "") | (F.col("n1") >= LEAST_EXAMPLES) & (F.col("n1") > F.col("n0"))).orderBy(F.desc(F.col("term") == ""), F.desc("n1"), "term").limit(8 * MAX_TERMS).collect()
-    t1, t0 = next(((float(r.n1), float(r.n0)) for r in frequent if r.term == ""), (0.0, 0.0))
-    rows = [r for r in frequent if r.term]
+    counted = written(examples.select("_t", "_y").mapInArrow(presence, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
+    t1, t0 = next(((float(r.n1), float(r.n0)) for r in counted.where("term = ''").collect()), (0.0, 0.0))
+    # a term's G-squared grows with its share of toxic examples, so the least number of them that can pass bounds what is sent
+    reach = np.arange(1, int(t1) + 1, dtype=float)
+    passing = np.flatnonzero(_g2(reach, np.zeros_like(reach), t1, t0) >= LEAST_G2) if t1 and t0 else np.zeros(0, np.int64)
+    rows = counted.where((F.col("term") != "") & (F.col("n1") > int(passing[0])) & (F.col("n1") * F.lit(t0) > F.col("n0") * F.lit(t1))).orderBy("term").collect() if len(passing) else []
     share = (t1 + 0.5) / (t1 + t0 + 2)
     empty = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(share / (1 - share)))
     if not rows or not t0 or not t1:
         return empty
     g2 = _g2(np.array([r.n1 for r in rows], float), np.array([r.n0 for r in rows], float), t1, t0)
-    candidates = {rows[i].term: j for j, i in enumerate(i for i in np.argsort(-g2, kind="stable").tolist() if g2[i] >= LEAST_G2)}
+    vocabulary = {rows[i].term: j for j, i in enumerate(i for i in np.argsort(-g2, kind="stable").tolist() if g2[i] >= LEAST_G2)}
 
     def counts(vocabulary: dict[str, int], tail: int):
         """(terms, counts, then ``tail`` more columns) of the rows of a (text, ...) table that have a term."""
@@ -203,20 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    found = examples.mapInArrow(counts(candidates, 2), f"terms array<int>, counts array<int>, y int, id {kind}").orderBy("id").collect()
-    # terms in order of their dependence, each for examples that the ones before it don't cover yet
-    need = np.array([COVER if r.y else 0 for r in found])
-    having: list[list[int]] = [[] for _ in candidates]
-    for i, r in enumerate(found):
-        for t in r.terms if r.y else ():
-            having[t].append(i)
-    names, vocabulary = list(candidates), {}
-    for t, name in enumerate(names):
-        who = np.array(having[t], np.int64)
-        if len(vocabulary) < MAX_TERMS and (need[who] > 0).sum() >= LEAST_EXAMPLES:
-            need[who] -= 1
-            vocabulary[name] = len(vocabulary)
-    renumber = {candidates[n]: i for n, i in vocabulary.items()}
+    found = examples.mapInArrow(counts(vocabulary, 2), f"terms array<int>, counts array<int>, y int, id {kind}").orderBy("id").collect()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
@@ -234,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     index = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
     vectors, ids, marks, votes, truth = [], [], [], [], []
     for r in found:
-        v = index.weigh({renumber[t]: c for t, c in zip(r.terms, r.counts, strict=True) if t in renumber})
+        v = index.weigh(dict(zip(r.terms, r.counts, strict=True)))
         truth.append(r.y)
         if v:
             vectors.append(v)
@@ -243,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     index.ids, index.labels = np.array(ids), np.array(marks, float)
     index.build(vectors)
     votes = [index.vote(index.nearest(v, without=i)) for i, v in enumerate(vectors)] + [0.0] * (len(found) - len(vectors))
-    index.slope, index.offset = _calibrate(np.array(votes), np.array([*marks, *[r.y for r in found if not any(t in renumber for t in r.terms)]], float))
+    index.slope, index.offset = _calibrate(np.array(votes), np.array([*marks, *[r.y for r in found if not r.terms]], float))
     return index
 
 
