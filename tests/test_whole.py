@@ -120,3 +120,9 @@ def test_terms_of_clean_texts_and_covered_ones_count(spark):
     docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
     vocabulary = toxicity.fit(docs, marks).vocabulary
     assert {"often", *(f"bad{k}" for k in range(8))} <= set(vocabulary)
+
+
+def test_query_rows_meet_smaller_ids(spark, tmp_path):
+    spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in (0, 3, 50, 75, 100)], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.a, r.b) for r in queries.queries()["pairwise_cosine"](spark, str(tmp_path)).collect())
+    assert got == [(0, 3), (0, 50), (0, 75), (0, 100), (50, 3), (50, 75), (50, 100), (100, 3), (100, 75)]

@@ -221,7 +221,8 @@ def relabel_first_appearance(spark, sf):
 def pairwise_cosine(spark, sf):
     v = d.vectors(spark, sf)
     a, b = v.where("idx % 50 = 0"), v.select("rec_id", F.col("idx").alias("b"), F.col("vec").alias("w"))
-    both = a.join(b, "rec_id").where("idx < b")
+    # a pair of two query rows counts once
+    both = a.join(b, "rec_id").where("idx < b OR idx > b AND b % 50 <> 0")
     return both.select(F.col("idx").alias("a"), "b", F.round(fn.cosine_distance(F.col("vec"), F.col("w")), 5).alias("distance"))
 
 
