@@ -126,3 +126,22 @@ def test_query_rows_meet_smaller_ids(spark, tmp_path):
     spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in (0, 3, 50, 75, 100)], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r.a, r.b) for r in queries.queries()["pairwise_cosine"](spark, str(tmp_path)).collect())
     assert got == [(0, 3), (0, 50), (0, 75), (0, 100), (50, 3), (50, 75), (50, 100), (100, 3), (100, 75)]
+
+
+def test_literals_of_added_tokens(spark):
+    """Packing has the ids of the library at its defaults."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from turnwise.llm import bpe, packing
+    from turnwise.llm.queries import split_pattern, tokenizer_file
+
+    path, text = tokenizer_file("byte_bpe_50k.json"), "a <|endoftext|> b"
+    texts = [text, "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n <|endoftext", "", "plain"]
+    ids, bounds = bpe.TokenIds.of(path, split_pattern()).encode([t.encode() for t in texts], added=True)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275] and [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    (p,) = packing.pack(spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string"), path, split_pattern()).collect()
+    assert p.doc_tokens == 5 and p.ids_crc32 == zlib.crc32(struct.pack("<5I", *want[0], 0))

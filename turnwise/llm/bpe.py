@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
@@ -264,14 +265,20 @@ class TokenIds:
         # the printable letters that stand for bytes: printable Latin-1 as itself, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        added = {t["content"] for t in spec["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"added tokens that strip or need word ends: {path}")
+        self.added = added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the longest literal first
+        self.literals = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.size = len(spec["model"]["vocab"])
         self.ranks, self.pattern = ranks, pattern
         self.engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        if t.encode(self.PROBE, add_special_tokens=False).ids != self.engine.encode_ordinary(self.PROBE):
+        plain_ids = t.encode(self.PROBE, add_special_tokens=False).ids
+        t.encode_special_tokens = False
+        if plain_ids != self.engine.encode_ordinary(self.PROBE) or t.encode(self.PROBE, add_special_tokens=False).ids != self.one_with_added(self.PROBE):
             raise ValueError(f"not a byte-level BPE with ids in the order of merges: {path}")
 
     @classmethod
@@ -281,11 +288,18 @@ class TokenIds:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, bounds of each text)."""
-        parts = [np.array(self.one(t.decode()), np.int32) for t in texts]
+    def encode(self, texts: list[bytes], added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, bounds of each text); with ``added``, literals of added tokens get their ids."""
+        one = self.one_with_added if added else self.one
+        parts = [np.array(one(t.decode()), np.int32) for t in texts]
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
+    def one_with_added(self, text: str) -> list[int]:
+        """As ``tokenizers`` at its defaults: texts are split at the added tokens first."""
+        if self.literals is None or not self.literals.search(text):
+            return self.one(text)
+        return [i for p in self.literals.split(text) if p for i in ([self.added[p]] if p in self.added else self.one(p))]
+
     def one(self, text: str) -> list[int]:
         try:
             return self.engine.encode_ordinary(text)

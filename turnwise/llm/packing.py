@@ -166,7 +166,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(2)], ["id", "source"]), b.column(1)], names=["key", "text"])
 
         for keys, texts in text_batches(pairs(), 1 << 20):
-            tokens, bounds = tokenizer.encode(texts)
+            tokens, bounds = tokenizer.encode(texts, added=True)
             tokens = np.insert(tokens, bounds[1:], end)
             bounds = bounds + np.arange(len(bounds))
             which = [queues[k["source"]] if queues else int.from_bytes(hashlib.blake2b(k["source"].encode(), digest_size=8).digest(), "little", signed=True) for k in keys]
