@@ -145,3 +145,9 @@ def test_literals_of_added_tokens(spark):
     assert want[0] == [64, 220, 50256, 275] and [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
     (p,) = packing.pack(spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string"), path, split_pattern()).collect()
     assert p.doc_tokens == 5 and p.ids_crc32 == zlib.crc32(struct.pack("<5I", *want[0], 0))
+
+
+def test_long_texts_make_long_recordings(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "x" * 5000), (1, 1, "assistant", "y" * 10)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (m,) = queries.queries()["build_mixture"](spark, str(tmp_path)).collect()
+    assert m.duration > 5.0 and m.n_turns == 2

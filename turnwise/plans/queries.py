@@ -340,7 +340,7 @@ def online_tracker(spark, sf):
 
 def _utterances(spark: SparkSession, sf: str) -> DataFrame:
     c = d.table(spark, sf, "conversations")
-    samples = F.transform(F.sequence(F.lit(0), F.char_length("text") % 200 + 100), lambda i: ((i * 37 + F.col("turn")) % 64 / F.lit(64.0)).cast("float"))
+    samples = F.transform(F.sequence(F.lit(0), F.char_length("text") + 100), lambda i: ((i * 37 + F.col("turn")) % 64 / F.lit(64.0)).cast("float"))
     return c.select(F.col("conv_id").cast("string").alias("rec_id"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), F.col("text").alias("transcript"), F.lit(1000).alias("sample_rate"), samples.alias("samples"))
 
 
