@@ -12,7 +12,8 @@ input) of at most ``KEY`` characters, so it is broadcast; blocks and queries mee
 smallest page of their digest, which is aggregated before.
 
 Defined results: a null html is empty; rows that repeat the smallest page_id of a payload are all responses; a row with a
-null page_id never is what others refer to; a null or malformed url is a key of its own; every row has its own record, also
+null page_id never is what others refer to; a null or malformed url is a key of its own; control characters and spaces inside a url (line ends too) stand as percent escapes
+in keys and headers; every row has its own record, also
 rows that repeat a url or an id; columns not named are not read; an empty table gives no rows.
 """
 
@@ -22,6 +23,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +36,17 @@ from turnwise.llm.common import columns, scratch, short_batches, written
 LEAST_REVISIT = 100
 LINES, DIRECTORY, KEY = 3000, 65_536, 256
 ARCHIVE = 256 << 20
+_CONTROL = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
+
+
+def printable(url: str | None) -> str:
+    """A url on one line: stripped, spaces and control characters inside it as percent escapes."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", (url or "").strip())
 
 
 def url_key(url: str | None) -> str:
-    """The reversed host in commas, a bracket, path and query; without scheme, port, user and fragment."""
-    url = (url or "").strip()
+    """The reversed host in commas, a bracket, path and query; without scheme, port, user and fragment; one line always."""
+    url = printable(url)
     scheme, mark, rest = url.partition("://")
     if not mark:
         scheme, rest = "", url
@@ -58,8 +66,7 @@ def _record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     """One record as a gzip member. A revisit has the full payload's digest and length, not the payload."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
-    address = "".join(c for c in (url or "") if c >= " ")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {address}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {printable(url)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
