@@ -6,7 +6,9 @@ touching the payload, and ``read_payload`` fetches the stored bytes by those ran
 shuffle, and memory is that of one text and its container.
 
 Defined results: a null text counts as empty; the payload is padded by zero bytes to a positive multiple of 64; repeated
-rows give repeated results; equal texts give equal values; columns other than the id and the text are not read.
+rows give repeated results; equal texts give equal values; columns other than the id and the text are not read. Of media
+that others wrote, each track is decoded by its own tables and the first whole one counts; null media give nulls; empty or
+malformed ones (no box, a cut or missing table, ranges outside the file) have no track: codec none, no samples, an empty payload.
 """
 
 from __future__ import annotations
@@ -70,56 +72,92 @@ def write_container(payload: bytes) -> bytes:
     return head + moov(relative + at) + mdat + payload
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end of the body) of every box, containers entered; bodies are not read. A broken size ends the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start, end of the body) of every box, containers entered; bodies are not read. A broken size ends its container."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         stop = end if size == 0 else start + size
         if stop < body or stop > end:
-            return
-        here = (*path, kind)
-        yield here, body, stop
-        if kind in _NESTED:
-            yield from walk(data, body, stop, here)
-        start = stop
-
-
-def describe(media: bytes) -> dict:
-    """Codec, time scale, duration, sample and chunk tables and byte ranges of the first track; the payload is not read."""
-    data = memoryview(media)
-    boxes: dict[bytes, tuple[int, int]] = {}
-    for path, start, stop in walk(data):
-        boxes.setdefault(path[-1], (start, stop))
+            continue
+        yield (*path, kind), body, stop
+        open_.append((path, stop, end))
+        if kind in _NESTED and len(path) < len(_NESTED):
+            open_.append(((*path, kind), body, stop))
+
+
+#: What is known of bytes without a sample table that can be decoded.
+NO_TRACK = {"codec": "none", "timescale": 0, "duration": 0, "samples": 0, "key_ranges": np.zeros((0, 2), np.int64), "chunk_ranges": np.zeros((0, 2), np.int64)}
+
+
+def _decode(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
+    """The tables of one track; a ValueError if one is missing, cut, or points outside the file."""
+
+    def field(kind: bytes, form: str, skip: int) -> tuple:
+        if kind not in boxes or boxes[kind][0] + skip + struct.calcsize(form) > boxes[kind][1]:
+            raise ValueError(f"no field of {kind!r}")
+        return struct.unpack_from(form, data, boxes[kind][0] + skip)
 
     def table(kind: bytes, dtype: str, width: int, skip: int = 8) -> np.ndarray:
-        if kind not in boxes:
-            return np.zeros((0, width), np.int64)
-        at = boxes[kind][0]
-        n = struct.unpack_from(">I", data, at + skip - 4)[0]
-        return np.frombuffer(data, dtype, n * width, at + skip).reshape(n, width).astype(np.int64)
-
-    codec = bytes(data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1")
-    scale = struct.unpack_from(">I", data, boxes[b"mdhd"][0] + 12)[0]
+        n = field(kind, ">I", skip - 4)[0]
+        if n * width * np.dtype(dtype).itemsize > boxes[kind][1] - boxes[kind][0] - skip:
+            raise ValueError(f"a cut table {kind!r}")
+        return np.frombuffer(data, dtype, n * width, boxes[kind][0] + skip).reshape(n, width).astype(np.int64)
+
+    codec = bytes(field(b"stsd", ">4s", 12)[0]).decode("latin-1")
+    scale = field(b"mdhd", ">I", 20 if field(b"mdhd", ">B", 0)[0] == 1 else 12)[0]  # version 1 has wider times
     times = table(b"stts", ">u4", 2)
-    each, count = struct.unpack_from(">II", data, boxes[b"stsz"][0] + 4)
+    each, count = field(b"stsz", ">II", 4)
+    if each * count > len(data):
+        raise ValueError("more samples than bytes")
     sizes = np.full(count, each, np.int64) if each else table(b"stsz", ">u4", 1, 12)[:, 0]
     offsets = table(b"co64", ">u8", 1)[:, 0] if b"co64" in boxes else table(b"stco", ">u4", 1)[:, 0]
     runs = table(b"stsc", ">u4", 3)
     per = np.zeros(len(offsets), np.int64)
-    for first, n, _ in runs:
-        per[first - 1 :] = n
+    for first, n, _ in runs.tolist():
+        if not first:
+            raise ValueError("chunks count from one")
+        per[first - 1 :] = min(n, count)
+    if per.sum() < count:
+        raise ValueError("samples without a chunk")
     chunk = np.repeat(np.arange(len(offsets)), per)[:count]
     before = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.concatenate([[0], np.cumsum(per)])[:-1]
-    starts = offsets[chunk] + before[:count] - before[np.minimum(first, count)][chunk]
+    first = np.minimum(np.concatenate([[0], np.cumsum(per)])[:-1], count)
+    starts = offsets[chunk] + before[:count] - before[first][chunk]
     sync = table(b"stss", ">u4", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(count)
     stop = np.minimum(first + per, count)
-    return {"codec": codec, "timescale": scale, "duration": int((times[:, 0] * times[:, 1]).sum()), "samples": int(count),
-            "key_ranges": np.stack([starts[sync], starts[sync] + sizes[sync]], 1), "chunk_ranges": np.stack([offsets, offsets + before[stop] - before[np.minimum(first, count)]], 1)}
+    chunks = np.stack([offsets, offsets + before[stop] - before[first]], 1)
+    if len(sync) and (sync.min() < 0 or sync.max() >= count) or len(chunks) and (chunks.min() < 0 or chunks.max() > len(data)):
+        raise ValueError("a table points outside the file")
+    return {"codec": codec, "timescale": scale, "duration": int((times[:, 0] * times[:, 1]).sum()), "samples": int(count), "key_ranges": np.stack([starts[sync], starts[sync] + sizes[sync]], 1), "chunk_ranges": chunks}
+
+
+def tracks(media: bytes | None) -> list[dict]:
+    """Codec, time scale, duration, samples and byte ranges of keyframes and chunks of each track that can be decoded."""
+    data, found = memoryview(media or b""), []
+    for path, start, stop in walk(data):
+        if path[-1] == b"trak":
+            found.append({})
+        elif found and b"trak" in path:
+            found[-1].setdefault(path[-1], (start, stop))
+    out = []
+    for boxes in found:
+        try:
+            out.append(_decode(data, boxes))
+        except ValueError:  # a track without whole tables is none
+            continue
+    return out
+
+
+def describe(media: bytes | None) -> dict:
+    """The first track that can be decoded, or ``NO_TRACK``; the payload is not read."""
+    return next(iter(tracks(media)), NO_TRACK)
 
 
 def read_payload(media: bytes, ranges: np.ndarray) -> bytes:
@@ -165,6 +203,9 @@ def read_media(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             rows = []
             for media in b.column(2).to_pylist():
+                if media is None:
+                    rows.append((None,) * len(kinds))
+                    continue
                 info = describe(media)
                 payload = read_payload(media, info["chunk_ranges"])
                 keys = info["key_ranges"]
