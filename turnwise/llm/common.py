@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -144,37 +145,44 @@ class Powers:
         return self.up, self.down
 
 
-_BYTES = Powers(0x9E3779B97F4A7C15)
 _WORDS = Powers(0xD1342543DE82EF95)
 _CHECK = Powers(0xAF251AF3B0F025B5)
-_TABLE = mix(np.arange(1, 257, dtype=_M) * _M(0x9E3779B97F4A7C15))
-#: The separators of words: space and bytes 9 to 13.
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts: (64-bit hashes, index of the text, start, end, start of each text in the joined buffer).
-
-    Starts and ends are bytes in ``b' '.join(texts)``.
-    """
-    joined = np.frombuffer(b" ".join(texts), np.uint8)
-    if lower:
-        joined = LOWER[joined]
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    space = np.ones(len(joined) + 2, bool)
-    space[1:-1] = SPACE[joined]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edge[0::2], edge[1::2]
-    up, down = _BYTES.upto(len(joined) + 1)
-    with np.errstate(over="ignore"):
-        acc = np.zeros(len(joined) + 1, _M)
-        np.cumsum(_TABLE[joined] * up[: len(joined)], out=acc[1:])
-        hashes = mix((acc[end] - acc[start]) * down[start] + (end - start).astype(_M))
-    return hashes, np.searchsorted(begin, start, "right") - 1, start, end, begin
+#: The key of the digests of words: one for all tasks and runs, so that retries agree.
+_KEY = b"turnwise words"
+
+
+class Digests(dict):
+    """word -> the place of its 128-bit keyed digest; a task remembers words up to ``LIMIT`` and then starts anew."""
+
+    LIMIT, LONGEST = 400_000, 64
+
+    def __init__(self) -> None:
+        self.data = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self.data) >> 4
+        self.data += hashlib.blake2b(word, digest_size=16, key=_KEY).digest()
+        if len(word) <= self.LONGEST:
+            self[word] = at
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """(words, 2) uint64: both halves of the digests."""
+        if len(self.data) >> 4 > self.LIMIT:
+            self.clear()
+            self.data = bytearray()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(bytes(self.data), "<u8").reshape(-1, 2)[at]
+
+
+_DIGESTS = Digests()
+
+
+def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (between spaces and bytes 9 to 13) of all texts: (first and second half of their digests, index of the text)."""
+    split = [(t.lower() if lower else t).split() for t in texts]
+    found = _DIGESTS.of([w for words in split for w in words])
+    return found[:, 0], found[:, 1], np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
 
 
 def windows_of(hashes: np.ndarray, text: np.ndarray, width: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:

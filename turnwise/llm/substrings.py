@@ -11,7 +11,8 @@ the bucket answers each chunk with one packed row. No row is made per window or
 than once per chunk, and nothing is broadcast or collected. Two such rounds (anchors, then windows of 50 words) are one
 plan; the exchange of the texts is reused by both, and a lost executor only costs a rerun of its tasks.
 
-Anchor probes are compared by at least 40 bits, which only adds candidates; windows of 50 words by 96 bits of two hashes.
+Anchor probes are compared by at least 40 bits, which only adds candidates; windows of 50 words by 64 bits made of one
+half and 32 bits made of the other half of the 128-bit keyed digests of their words.
 
 Defined results: a null or empty text has no words; the words of a null id count as those of the largest id; rows that
 repeat an id are one document for the comparison of ids and remove nothing from each other; ids are integers; columns
@@ -37,16 +38,17 @@ _LAST = np.iinfo(np.int64).max
 def _words(table: pa.Table):
     texts = [t or b"" for t in table.column("_text").cast(pa.binary()).to_pylist()]
     ids = table.column("_id").cast(pa.int64()).fill_null(_LAST).to_numpy()
-    # a slice at a time: the arrays by byte are larger than those by word
-    hashes, text, first, size = [np.zeros(0, _M)], [np.zeros(0, np.int64)], 0, 0
+    # a slice at a time: the words as objects are larger than their digests
+    hashes, second, text, first, size = [np.zeros(0, _M)], [np.zeros(0, _M)], [np.zeros(0, np.int64)], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= 1 << 20 or i + 1 == len(texts):
-            h, owner = words_of(texts[first : i + 1])[:2]
+            h, other, owner = words_of(texts[first : i + 1])
             hashes.append(h)
+            second.append(other)
             text.append(owner + first)
             first, size = i + 1, 0
-    return texts, ids, np.concatenate(hashes), np.concatenate(text)
+    return texts, ids, np.concatenate(hashes), np.concatenate(second), np.concatenate(text)
 
 
 def _pack(keys: np.ndarray, flags: np.ndarray) -> bytes:
@@ -94,7 +96,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def probe(key: tuple, table: pa.Table) -> pa.Table:
         """Distinct rolling windows of a chunk, with flags: 1 it is a reference block, 2 several documents have it."""
-        _, ids, hashes, text = _words(table)
+        _, ids, hashes, _, text = _words(table)
         first, h = windows_of(hashes, text, block)
         if not len(h):
             return _rows(_SENT, [])
@@ -136,7 +138,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Windows of the full width around hits: distinct, with the smallest document of the chunk."""
         if not answers.num_rows or not table.num_rows:
             return _rows(_SENT, [])
-        _, ids, hashes, text = _words(table)
+        _, ids, hashes, second, text = _words(table)
         hit = np.concatenate([_unpack(d)[0] | (_M(b) << _M(38)) for b, d in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True)])
         hit.sort()
         first, h = windows_of(hashes, text, block)
@@ -147,7 +149,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = np.cumsum(total)
         start, wide = windows_of(hashes, text, width)
         near = total[start + width - block + 1] > total[start]
-        check = windows_of(hashes, text, width, check=True)[1][near].astype("<u4")
+        check = windows_of(second, text, width, check=True)[1][near].astype("<u4")
         start, wide = start[near], wide[near]
         if not len(wide):
             return _rows(_SENT, [])
@@ -195,9 +197,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         """Maximal repeats from the covering windows, and the text without them."""
-        texts, ids, hashes, text = _words(table)
+        texts, ids, hashes, second, text = _words(table)
         start, wide = windows_of(hashes, text, width)
-        check = windows_of(hashes, text, width, check=True)[1].astype("<u4")
+        check = windows_of(second, text, width, check=True)[1].astype("<u4")
         gone = np.zeros(len(wide), bool)
         if len(wide):
             doc = ids[text[start]]
