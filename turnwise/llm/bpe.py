@@ -1,13 +1,17 @@
 """Operator 2. Byte-level BPE encoding and decoding.
 
-Texts are split by the public pattern; the distinct pieces of a task, as byte arrays, are encoded by Spark higher-order
-functions that fold ranked merges with a literal rank map; ids are then gathered for every occurrence. Decoding looks each
-id up in a literal array of binary pieces (as hex) and concatenates them. The steps follow each other inside one stage:
-there is no shuffle and nothing is broadcast but the vocabulary, which has a fixed size.
+Texts are split by the public pattern. The distinct pieces of the whole corpus, as byte arrays, are encoded once each by
+Spark higher-order functions that fold ranked merges with a literal rank map; ids are then gathered for every occurrence.
+Decoding looks each id up in a literal array of binary pieces (as hex) and concatenates them.
 
-The rank map is a perfect hash: for a pair of token ids that merge, one bucket array gives a displacement and one slot
-array holds pair and rank, so a lookup is two array reads. A literal Spark map would be searched entry by entry.
-Pieces of more than ``FOLD_BYTES`` bytes are folded in Python with a heap, since the fold is quadratic in the length.
+How it is spread: a task deals its texts into chunks of about ``CHUNK`` bytes and keeps, for each text, the numbers of its
+pieces in the chunk. A chunk sends each of its distinct pieces once, in packed rows, to the task that the piece's checksum
+names; that task folds what it has not met and answers each chunk. So a frequent piece is one entry for each chunk, there
+are never more packed rows than distinct pieces, and no text, only the compressed numbers of its pieces, is shuffled.
+
+The rank map is a literal of displaced rows: the shift of the left id plus the right id is a slot, which holds left id and
+rank, so a lookup is two array reads. A literal Spark map would be searched entry by entry.
+Pieces of more than ``FOLD_BYTES`` bytes take the same merges by a heap in Python, since the fold is quadratic in the length.
 
 Defined results: a null or empty text has no ids; the ids' digest is then that of no bytes; repeated rows give repeated
 results; null ids of rows are passed on; other columns of the table are not read.
@@ -19,6 +23,7 @@ import base64
 import hashlib
 import re
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,15 +33,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from turnwise.llm.common import columns, short_batches, text_batches
+from turnwise.llm.common import columns, partitions_for, short_batches, text_batches
 
 FOLD_BYTES = 48
-#: Pieces that a task remembers at most; then it starts anew.
+#: Bytes of text in a chunk, about, and of its slices.
+CHUNK, SLICE = 12 << 20, 2 << 20
+#: Pieces that a folding task remembers at most; then it starts anew.
 REMEMBER = 600_000
-_PRIME = 4294967291
 _EMPTY = 1 << 62
-_NONE, _EDGE = 65536, 65535
+_NONE = 65536
 
 
 @lru_cache(4)
@@ -46,43 +54,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(4)
-def rank_map(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(displacements, slots, multiplier): the merging pairs of ids as a perfect hash.
+def rank_map(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shifts, slots): the merging pairs of ids as displaced rows.
 
-    Pair (a, b) has the key a * 65536 + b; its slot holds key * 65536 + rank.
+    The row of id a is laid over one slot array from shift a on, so that no two pairs (a, b) share a slot; the slot of a pair
+    holds a * 65536 + rank.
     """
     ranks = load_ranks(path)
-    if max(ranks.values()) >= _EDGE:
+    if max(ranks.values()) >= _NONE - 1:
         raise ValueError("the rank map takes vocabularies of up to 65,535 entries")
-    keys, values = [], []
+    rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
-                keys.append(a * 65536 + b)
-                values.append(rank)
-    n = len(keys)
-    buckets, slots = max(1, n // 3), 2 * n + 1
-    for multiplier in range(40503, 40503 + 200, 2):
-        groups: dict[int, list[int]] = {}
-        for i, k in enumerate(keys):
-            groups.setdefault(k % buckets, []).append(i)
-        table, shift, rng, ok = np.full(slots, _EMPTY, np.int64), np.zeros(buckets, np.int64), np.random.default_rng(multiplier), True
-        for bucket, members in sorted(groups.items(), key=lambda g: -len(g[1])):
-            home = [keys[i] * multiplier % _PRIME for i in members]
-            for _ in range(2000):
-                d = int(rng.integers(slots))
-                at = [(h + d) % slots for h in home]
-                if len(set(at)) == len(at) and all(table[x] == _EMPTY for x in at):
-                    break
-            else:
-                ok = False
+                rows[a].append((b, rank))
+    n, width = sum(map(len, rows.values())), max(ranks.values()) + 1
+    shifts, rng = np.zeros(width, np.int64), np.random.default_rng(len(ranks))
+    slots = np.full(4 * n + width, _EMPTY, np.int64)
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        columns_, values = np.array([b for b, _ in row]), np.array([r for _, r in row])
+        for _ in range(2000):
+            tried = rng.integers(4 * n, size=64)
+            if len(good := tried[(slots[tried[:, None] + columns_] == _EMPTY).all(1)]):
+                d = int(good[0])
                 break
-            shift[bucket] = d
-            for x, i in zip(at, members, strict=True):
-                table[x] = keys[i] * 65536 + values[i]
-        if ok:
-            return shift, table, multiplier
-    raise ValueError("no perfect hash found")
+        else:
+            raise ValueError("the rank map has no room")
+        shifts[a] = d
+        slots[columns_ + d] = a * 65536 + values
+    return shifts, slots
 
 
 def _literal(values, kind: str) -> Column:
@@ -91,46 +91,26 @@ def _literal(values, kind: str) -> Column:
 
 
 def fold_merges(pieces: Column, path: str) -> Column:
-    """array<array<smallint>> (bytes of pieces) -> array<array<bigint>> (token ids), by folding ranked merges."""
+    """array<array<smallint>> (bytes of pieces) -> array<array<int>> (token ids), by folding ranked merges."""
     ranks = load_ranks(path)
-    shift, table, multiplier = rank_map(path)
-    single = _literal([ranks[bytes([i])] for i in range(256)], "bigint")
-    first = _literal([ranks.get(bytes([i, j]), _NONE) for i in range(256) for j in range(256)], "bigint")
-    shifts, slots = _literal(shift.tolist(), "int"), _literal(table.tolist(), "bigint")
-    buckets, size = len(shift), len(table)
-    edge, none = F.array(F.lit(_EDGE).cast("bigint")), F.array(F.lit(_NONE).cast("bigint"))
-
-    def rank_of(key: Column) -> Column:
-        """The rank of a pair, or at least _NONE: a slot of another pair differs from the key in its upper bits."""
-        entry = F.get(slots, ((key * F.lit(multiplier) % F.lit(_PRIME) + F.get(shifts, (key % F.lit(buckets)).cast("int"))) % F.lit(size)).cast("int"))
-        return F.least(entry.bitwiseXOR(key * F.lit(65536)), F.lit(_NONE).cast("bigint"))
+    shift, table = rank_map(path)
+    single, shifts, slots = _literal([ranks[bytes([i])] for i in range(256)], "int"), _literal(shift.tolist(), "int"), _literal(table.tolist(), "bigint")
 
     def bound(value: Column, body) -> Column:
         """``body`` of a value that is computed once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def joined(*parts: Column) -> Column:
-        """The arrays one behind the other; ``concat`` makes a lazy list for each call, which costs more than the merge."""
-        return F.flatten(F.array(*parts))
-
-    def merge(ids: Column, known: Column, best: Column, at: Column) -> Column:
-        """The pair at ``at`` becomes one token; only the ranks of its two new pairs are looked up."""
-        keys = F.array(F.get(ids, at - F.lit(2)) * F.lit(65536) + best, best * F.lit(65536) + F.get(ids, at + F.lit(1)))
-        merged = joined(F.slice(ids, F.lit(1), at - F.lit(1)), F.array(best), F.slice(ids, at + F.lit(2), F.size(ids)))
-        left = joined(F.slice(known, F.lit(1), at - F.lit(2)), F.transform(keys, rank_of), F.slice(known, at + F.lit(2), F.size(known)))
-        return F.struct(merged.alias("ids"), left.alias("known"))
+    def step(ids: Column, _: Column) -> Column:
+        """Merge the first pair of the least rank. Behind the last id there is none, and ``array_min`` passes over nulls."""
+        known = F.transform(ids, lambda x, i: F.get(slots, F.get(shifts, x) + F.get(ids, i + F.lit(1))).bitwiseXOR(F.shiftleft(x.cast("bigint"), 16)))
 
-    def step(acc: Column, _: Column) -> Column:
-        return bound(F.array_min(acc["known"]), lambda best: F.when(best < F.lit(_NONE), bound(F.array_position(acc["known"], best).cast("int"), lambda at: merge(acc["ids"], acc["known"], best, at))).otherwise(acc))
+        def merged(ranks_: Column, best: Column) -> Column:
+            return bound(F.array_position(ranks_, best).cast("int"), lambda at: F.filter(F.transform(ids, lambda x, i: F.when(i == at - F.lit(1), best.cast("int")).otherwise(x)), lambda x, i: i != at))
 
-    def encode(piece: Column) -> Column:
-        ids = joined(edge, F.transform(piece, lambda b: F.get(single, b.cast("int"))), edge)
-        pairs = F.transform(F.slice(piece, F.lit(2), F.size(piece)), lambda b, i: F.get(first, F.get(piece, i).cast("int") * F.lit(256) + b.cast("int")))
-        # an edge on either side pairs with nothing
-        start = F.struct(ids.alias("ids"), joined(none, pairs, none).alias("known"))
-        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - F.lit(2)))
+        # another pair's slot differs in its upper bits, so what it gives is no rank
+        return bound(known, lambda ranks_: bound(F.array_min(ranks_), lambda best: F.when(best < F.lit(_NONE), merged(ranks_, best)).otherwise(ids)))
 
-    return F.transform(pieces, encode)
+    return F.transform(pieces, lambda piece: F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), F.transform(piece, lambda b: F.get(single, b.cast("int"))), step))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
@@ -163,78 +143,147 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _packed(pieces: list[bytes]) -> bytes:
+    return np.array([len(pieces), *map(len, pieces)], "<u4").tobytes() + b"".join(pieces)
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)]) + 4 + 4 * n
+    bounds = ends.tolist()
+    return [data[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _split(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
-    """Slices of texts: ids, for each text the numbers of its pieces, and the pieces not met before in this task."""
+    """Slices of texts: chunk, ids, for each text the numbers of its pieces in the chunk, and the pieces new to the chunk from number ``base`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import zstandard
+        from pyspark import TaskContext
 
-        find = regex.compile(pattern).findall
+        find, shrink = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+        chunk, size = TaskContext.get().partitionId() << 24, 0
         known: dict[str, int] = defaultdict()
         known.default_factory = known.__len__  # a new piece gets the next number
-        for ids, texts in text_batches(batches, 2 << 20):
-            fresh = len(known) > REMEMBER
-            if fresh:
+        for ids, texts in text_batches(batches, SLICE):
+            if size >= CHUNK:
                 known.clear()
+                chunk, size = chunk + 1, 0
+            size += sum(map(len, texts))
             had, numbers, bounds = len(known), [], [0]
             for t in texts:
                 numbers.extend(map(known.__getitem__, find(t.decode())))
                 bounds.append(len(numbers))
             new = [p.encode() for p in islice(known, had, None)]
-            short = [p if len(p) <= FOLD_BYTES else b"" for p in new]
-            flat = np.frombuffer(b"".join(short), np.uint8).astype(np.int16)
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in short])]), pa.int32()), pa.array(flat, pa.int16()))
-            pieces = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), inner)
-            longs = {had + i: p for i, p in enumerate(new) if len(p) > FOLD_BYTES}
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(id_type)), pa.array([np.array(numbers, np.int32).tobytes()], pa.binary()), pa.array([np.array(bounds, np.int64).tobytes()], pa.binary()), pa.array([fresh]), pa.array([list(longs)], pa.list_(pa.int32())), pa.array([list(longs.values())], pa.list_(pa.binary())), pieces],
-                names=["ids", "numbers", "bounds", "fresh", "long_at", "longs", "pieces"],
+                [pa.array([chunk], pa.int64()), pa.array([had], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([shrink(np.array(numbers, "<i4").tobytes())], pa.binary()), pa.array([np.array(bounds, "<i8").tobytes()], pa.binary()), pa.array([_packed(new)], pa.binary())],
+                names=["chunk", "base", "ids", "numbers", "bounds", "pieces"],
             )
 
-    kind = dict(docs.dtypes)[id_col]
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return columns(docs, id_col, text_col).mapInArrow(run, f"ids array<{kind}>, numbers binary, bounds binary, fresh boolean, long_at array<int>, longs array<binary>, pieces array<array<smallint>>")
+    kind = docs.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    return columns(docs, id_col, text_col).mapInArrow(run, f"chunk bigint, base int, ids array<{kind.simpleString()}>, numbers binary, bounds binary, pieces binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids array<int>, ids_sha256) per row."""
-    short_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    split = _split(docs, id_col, text_col, pattern)
-    folded = split.select("ids", "numbers", "bounds", "fresh", "long_at", "longs", fold_merges(F.col("pieces"), path).alias("pieces"))
+def _folded(dealt: DataFrame, path: str, parts: int) -> DataFrame:
+    """(chunk, numbers, sizes, tokens): the ids of the distinct pieces of each chunk; each piece of the corpus is folded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = 8 * parts  # so that tasks get about as many
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
+            for chunk, base, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True):
+                for i, p in enumerate(_unpacked(packed), base):
+                    numbers, pieces = by.setdefault((chunk, zlib.crc32(p) % buckets), ([], []))
+                    numbers.append(i)
+                    pieces.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in by], pa.int32()), pa.array([c for c, _ in by], pa.int64()), pa.array([np.array(n, "<i4").tobytes() for n, _ in by.values()], pa.binary()), pa.array([_packed(p) for _, p in by.values()], pa.binary())], names=["bucket", "chunk", "numbers", "pieces"])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The packed rows with places among the pieces met in this task, and the pieces not met before."""
+        known: dict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
+        for b in batches:
+            for row in range(b.num_rows):
+                fresh = len(known) > REMEMBER
+                if fresh:
+                    known.clear()
+                had = len(known)
+                places = np.array(list(map(known.__getitem__, _unpacked(b.column(3)[row].as_py()))), "<i4")
+                new = list(islice(known, had, None))
+                short = [p if len(p) <= FOLD_BYTES else b"" for p in new]
+                flat = np.frombuffer(b"".join(short), np.uint8).astype(np.int16)
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in short])]), pa.int32()), pa.array(flat, pa.int16()))
+                pieces = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), inner)
+                longs = {had + i: p for i, p in enumerate(new) if len(p) > FOLD_BYTES}
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(row, 1), b.column(2).slice(row, 1), pa.array([places.tobytes()], pa.binary()), pa.array([fresh]), pa.array([list(longs)], pa.list_(pa.int32())), pa.array([list(longs.values())], pa.list_(pa.binary())), pieces], names=["chunk", "numbers", "places", "fresh", "long_at", "longs", "pieces"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
-        flat, first, used, count = np.zeros(1 << 20, np.int32), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
+        flat, first, used, count = np.zeros(1 << 20, np.uint16), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
         for b in batches:
             for row in range(b.num_rows):
                 if b.column(3)[row].as_py():
                     first, count, used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
                 pieces = b.column(6)[row].values
                 new = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
-                values = pieces.flatten().to_numpy().astype(np.int32)
+                values = pieces.flatten().to_numpy().astype(np.uint16)
                 longs = [(at - len(count), merge_long(p, ranks)) for at, p in zip(b.column(4)[row].as_py(), b.column(5)[row].as_py(), strict=True)]
                 starts = np.cumsum(new) - new + used
                 for at, ids in longs:
                     starts[at], new[at] = used + len(values), len(ids)
-                    values = np.concatenate([values, np.array(ids, np.int32)])
+                    values = np.concatenate([values, np.array(ids, np.uint16)])
                 if used + len(values) > len(flat):
-                    flat = np.concatenate([flat[:used], np.zeros(max(len(flat), len(values)), np.int32)])
+                    flat = np.concatenate([flat[:used], np.zeros(max(len(flat), len(values)), np.uint16)])
                 flat[used : used + len(values)] = values
                 used += len(values)
                 first, count = np.concatenate([first, starts]), np.concatenate([count, new])
-                numbers, bounds = np.frombuffer(b.column(1)[row].as_py(), np.int32), np.frombuffer(b.column(2)[row].as_py(), np.int64)
-                sizes = count[numbers]
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                tokens = flat[np.repeat(first[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
-                offsets = ends[bounds]
-                for i in range(0, len(offsets) - 1, 256):
-                    cut = offsets[i : i + 257]
-                    part = tokens[cut[0] : cut[-1]]
-                    shas = [hashlib.sha256(tokens[x:y].astype("<u4").tobytes()).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0)[row].values.slice(i, 256), pa.array(np.diff(cut), pa.int64()), pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(part, pa.int32())), pa.array(shas)], names=[id_col, "n_tokens", "ids", "ids_sha256"])
-
-    return folded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids array<int>, ids_sha256 string")
+                places = np.frombuffer(b.column(2)[row].as_py(), "<i4")
+                tokens, ends = _gathered(flat, first, count, places)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([np.diff(ends).astype("<u4").tobytes()], pa.binary()), pa.array([tokens.astype("<u2").tobytes()], pa.binary())], names=["chunk", "numbers", "sizes", "tokens"])
+
+    sent = dealt.mapInArrow(send, "bucket int, chunk bigint, numbers binary, pieces binary").repartition(parts, "bucket")
+    met = sent.mapInArrow(distinct, "chunk bigint, numbers binary, places binary, fresh boolean, long_at array<int>, longs array<binary>, pieces array<array<smallint>>")
+    folded = met.select("chunk", "numbers", "places", "fresh", "long_at", "longs", fold_merges(F.col("pieces"), path).alias("pieces"))
+    return folded.mapInArrow(answer, "chunk bigint, numbers binary, sizes binary, tokens binary")
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, count: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs (first, count) of ``flat`` that ``which`` names, one behind the other, and their bounds."""
+    sizes = count[which]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(first[which] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids array<int>, ids_sha256) per row."""
+    short_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    parts = min(partitions_for(docs, 16 << 20), 20_000)
+    dealt = _split(docs, id_col, text_col, pattern).repartition(parts, "chunk")
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())])
+
+    def gather(_key: tuple, slices: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
+
+        grow = zstandard.ZstdDecompressor().decompress
+        at = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i4") for x in answers.column("numbers").to_pylist()]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<u4") for x in answers.column("sizes").to_pylist()]])
+        flat = np.frombuffer(b"".join(answers.column("tokens").to_pylist()), "<u2")
+        first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        first[at], count[at] = np.cumsum(sizes) - sizes, sizes
+        made = []
+        for row in range(slices.num_rows):
+            numbers, bounds = np.frombuffer(grow(slices.column("numbers")[row].as_py()), "<i4"), np.frombuffer(slices.column("bounds")[row].as_py(), "<i8")
+            tokens, ends = _gathered(flat, first, count, numbers)
+            cut, wide = ends[bounds], tokens.astype("<u4").tobytes()
+            shas = [hashlib.sha256(wide[4 * x : 4 * y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            made.append(pa.RecordBatch.from_arrays([slices.column("ids")[row].values, pa.array(np.diff(cut), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tokens, pa.int32())), pa.array(shas, pa.string())], names=[id_col, "n_tokens", "ids", "ids_sha256"]))
+        return pa.Table.from_batches(made)
+
+    return dealt.groupBy("chunk").cogroup(_folded(dealt, path, parts).repartition(parts, "chunk").groupBy("chunk")).applyInArrow(gather, schema)
 
 
 def digest(encoded: DataFrame, path: str) -> DataFrame:
