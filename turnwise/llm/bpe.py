@@ -40,7 +40,7 @@ from turnwise.llm.common import columns, partitions_for, short_batches, text_bat
 
 FOLD_BYTES = 48
 #: Bytes of text in a chunk, about, and of its slices.
-CHUNK, SLICE = 12 << 20, 2 << 20
+CHUNK, SLICE = 20 << 20, 2 << 20
 #: Pieces that a folding task remembers at most; then it starts anew.
 REMEMBER = 600_000
 _EMPTY = 1 << 62
@@ -143,14 +143,22 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers by planes of bytes: the mostly empty upper ones compress to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
 def _packed(pieces: list[bytes]) -> bytes:
-    return np.array([len(pieces), *map(len, pieces)], "<u4").tobytes() + b"".join(pieces)
+    return len(pieces).to_bytes(4, "little") + _planes(np.fromiter(map(len, pieces), np.int64, len(pieces))) + b"".join(pieces)
 
 
 def _unpacked(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)]) + 4 + 4 * n
-    bounds = ends.tolist()
+    bounds = (np.concatenate([[0], np.cumsum(_from_planes(data[4 : 4 + 4 * n]))]) + 4 + 4 * n).tolist() if n else [0]
     return [data[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -177,7 +185,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFra
                 bounds.append(len(numbers))
             new = [p.encode() for p in islice(known, had, None)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([had], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([shrink(np.array(numbers, "<i4").tobytes())], pa.binary()), pa.array([np.array(bounds, "<i8").tobytes()], pa.binary()), pa.array([_packed(new)], pa.binary())],
+                [pa.array([chunk], pa.int64()), pa.array([had], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([shrink(np.array(numbers, "<i4").tobytes())], pa.binary()), pa.array([np.array(bounds, "<i8").tobytes()], pa.binary()), pa.array([shrink(_packed(new))], pa.binary())],
                 names=["chunk", "base", "ids", "numbers", "bounds", "pieces"],
             )
 
@@ -186,20 +194,34 @@ def _split(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFra
     return columns(docs, id_col, text_col).mapInArrow(run, f"chunk bigint, base int, ids array<{kind.simpleString()}>, numbers binary, bounds binary, pieces binary")
 
 
-def _folded(dealt: DataFrame, path: str, parts: int) -> DataFrame:
-    """(chunk, numbers, sizes, tokens): the ids of the distinct pieces of each chunk; each piece of the corpus is folded once."""
+def _by_bucket(slices, buckets: int) -> dict[int, tuple[list[int], list[bytes]]]:
+    """bucket -> (numbers, pieces) of a chunk's (first number, pieces)."""
+    by: dict[int, tuple[list[int], list[bytes]]] = {}
+    for base, pieces in slices:
+        for i, p in enumerate(pieces, base):
+            numbers, held = by.setdefault(zlib.crc32(p) % buckets, ([], []))
+            numbers.append(i)
+            held.append(p)
+    return by
+
 
-    buckets = 8 * parts  # so that tasks get about as many
+def _folded(dealt: DataFrame, path: str, parts: int, buckets: int) -> DataFrame:
+    """(chunk, bucket, first, sizes, tokens): the ids of the distinct pieces of each chunk and bucket, by their numbers from ``first`` on.
+
+    Each piece of the corpus is folded once.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        grow = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            by: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
+            held: dict[int, list[tuple[int, list[bytes]]]] = {}
             for chunk, base, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True):
-                for i, p in enumerate(_unpacked(packed), base):
-                    numbers, pieces = by.setdefault((chunk, zlib.crc32(p) % buckets), ([], []))
-                    numbers.append(i)
-                    pieces.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in by], pa.int32()), pa.array([c for c, _ in by], pa.int64()), pa.array([np.array(n, "<i4").tobytes() for n, _ in by.values()], pa.binary()), pa.array([_packed(p) for _, p in by.values()], pa.binary())], names=["bucket", "chunk", "numbers", "pieces"])
+                held.setdefault(chunk, []).append((base, _unpacked(grow(packed))))
+            for chunk, slices in held.items():
+                by = _by_bucket(sorted(slices, key=lambda s: s[0]), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([chunk] * len(by), pa.int64()), pa.array([n[0] for n, _ in by.values()], pa.int32()), pa.array([_packed(p) for _, p in by.values()], pa.binary())], names=["bucket", "chunk", "first", "pieces"])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The packed rows with places among the pieces met in this task, and the pieces not met before."""
@@ -218,19 +240,19 @@ def _folded(dealt: DataFrame, path: str, parts: int) -> DataFrame:
                 inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in short])]), pa.int32()), pa.array(flat, pa.int16()))
                 pieces = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), inner)
                 longs = {had + i: p for i, p in enumerate(new) if len(p) > FOLD_BYTES}
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(row, 1), b.column(2).slice(row, 1), pa.array([places.tobytes()], pa.binary()), pa.array([fresh]), pa.array([list(longs)], pa.list_(pa.int32())), pa.array([list(longs.values())], pa.list_(pa.binary())), pieces], names=["chunk", "numbers", "places", "fresh", "long_at", "longs", "pieces"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(row, 1), b.column(0).slice(row, 1), b.column(2).slice(row, 1), pa.array([places.tobytes()], pa.binary()), pa.array([fresh]), pa.array([list(longs)], pa.list_(pa.int32())), pa.array([list(longs.values())], pa.list_(pa.binary())), pieces], names=["chunk", "bucket", "first", "places", "fresh", "long_at", "longs", "pieces"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         flat, first, used, count = np.zeros(1 << 20, np.uint16), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
         for b in batches:
             for row in range(b.num_rows):
-                if b.column(3)[row].as_py():
+                if b.column(4)[row].as_py():
                     first, count, used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-                pieces = b.column(6)[row].values
+                pieces = b.column(7)[row].values
                 new = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
                 values = pieces.flatten().to_numpy().astype(np.uint16)
-                longs = [(at - len(count), merge_long(p, ranks)) for at, p in zip(b.column(4)[row].as_py(), b.column(5)[row].as_py(), strict=True)]
+                longs = [(at - len(count), merge_long(p, ranks)) for at, p in zip(b.column(5)[row].as_py(), b.column(6)[row].as_py(), strict=True)]
                 starts = np.cumsum(new) - new + used
                 for at, ids in longs:
                     starts[at], new[at] = used + len(values), len(ids)
@@ -240,14 +262,14 @@ def _folded(dealt: DataFrame, path: str, parts: int) -> DataFrame:
                 flat[used : used + len(values)] = values
                 used += len(values)
                 first, count = np.concatenate([first, starts]), np.concatenate([count, new])
-                places = np.frombuffer(b.column(2)[row].as_py(), "<i4")
+                places = np.frombuffer(b.column(3)[row].as_py(), "<i4")
                 tokens, ends = _gathered(flat, first, count, places)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([np.diff(ends).astype("<u4").tobytes()], pa.binary()), pa.array([tokens.astype("<u2").tobytes()], pa.binary())], names=["chunk", "numbers", "sizes", "tokens"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(row, 1) for c in range(3)], pa.array([_planes(np.diff(ends))], pa.binary()), pa.array([tokens.astype("<u2").tobytes()], pa.binary())], names=["chunk", "bucket", "first", "sizes", "tokens"])
 
-    sent = dealt.mapInArrow(send, "bucket int, chunk bigint, numbers binary, pieces binary").repartition(parts, "bucket")
-    met = sent.mapInArrow(distinct, "chunk bigint, numbers binary, places binary, fresh boolean, long_at array<int>, longs array<binary>, pieces array<array<smallint>>")
-    folded = met.select("chunk", "numbers", "places", "fresh", "long_at", "longs", fold_merges(F.col("pieces"), path).alias("pieces"))
-    return folded.mapInArrow(answer, "chunk bigint, numbers binary, sizes binary, tokens binary")
+    sent = dealt.mapInArrow(send, "bucket int, chunk bigint, first int, pieces binary").repartition(parts, "bucket")
+    met = sent.mapInArrow(distinct, "chunk bigint, bucket int, first int, places binary, fresh boolean, long_at array<int>, longs array<binary>, pieces array<array<smallint>>")
+    folded = met.select("chunk", "bucket", "first", "places", "fresh", "long_at", "longs", fold_merges(F.col("pieces"), path).alias("pieces"))
+    return folded.mapInArrow(answer, "chunk bigint, bucket int, first int, sizes binary, tokens binary")
 
 
 def _gathered(flat: np.ndarray, first: np.ndarray, count: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +284,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     parts = min(partitions_for(docs, 16 << 20), 20_000)
+    buckets = 6 * parts  # so that tasks get about as many
     dealt = _split(docs, id_col, text_col, pattern).repartition(parts, "chunk")
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())])
 
@@ -269,11 +292,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         import zstandard
 
         grow = zstandard.ZstdDecompressor().decompress
-        at = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i4") for x in answers.column("numbers").to_pylist()]])
-        sizes = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<u4") for x in answers.column("sizes").to_pylist()]])
-        flat = np.frombuffer(b"".join(answers.column("tokens").to_pylist()), "<u2")
-        first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        first[at], count[at] = np.cumsum(sizes) - sizes, sizes
+        pieces = sorted((base, _unpacked(grow(x))) for base, x in zip(slices.column("base").to_pylist(), slices.column("pieces").to_pylist(), strict=True))
+        by = {k: np.array(n) for k, (n, _) in _by_bucket(pieces, buckets).items()}
+        total = sum(len(p) for _, p in pieces)
+        first, count, flat, used = np.zeros(total, np.int64), np.zeros(total, np.int64), [np.zeros(0, "<u2")], 0
+        for bucket, number, sizes, tokens in zip(*[answers.column(c).to_pylist() for c in ("bucket", "first", "sizes", "tokens")], strict=True):
+            sizes, numbers = _from_planes(sizes), by[bucket]
+            at = numbers[(i := int(np.searchsorted(numbers, number))) : i + len(sizes)]
+            first[at], count[at] = np.cumsum(sizes) - sizes + used, sizes
+            flat.append(np.frombuffer(tokens, "<u2"))
+            used += len(flat[-1])
+        flat = np.concatenate(flat)
         made = []
         for row in range(slices.num_rows):
             numbers, bounds = np.frombuffer(grow(slices.column("numbers")[row].as_py()), "<i4"), np.frombuffer(slices.column("bounds")[row].as_py(), "<i8")
@@ -283,7 +312,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             made.append(pa.RecordBatch.from_arrays([slices.column("ids")[row].values, pa.array(np.diff(cut), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tokens, pa.int32())), pa.array(shas, pa.string())], names=[id_col, "n_tokens", "ids", "ids_sha256"]))
         return pa.Table.from_batches(made)
 
-    return dealt.groupBy("chunk").cogroup(_folded(dealt, path, parts).repartition(parts, "chunk").groupBy("chunk")).applyInArrow(gather, schema)
+    return dealt.groupBy("chunk").cogroup(_folded(dealt, path, parts, buckets).repartition(parts, "chunk").groupBy("chunk")).applyInArrow(gather, schema)
 
 
 def digest(encoded: DataFrame, path: str) -> DataFrame:
