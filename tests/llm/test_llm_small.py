@@ -176,25 +176,44 @@ def test_packing_is_a_partition_of_all_tokens(spark):
     assert packed(spark, []) == []
 
 
-def test_windows_keep_the_mixture():
-    totals = [600_000, 300_000, 99_000, 1_000]
-    s = packing.Schedule(totals)
-    share = np.zeros((-(-sum(totals) // 1024), 4))
+def shares(mixture, totals):
+    """Tokens of each source in each window."""
+    share = np.zeros((-(-sum(totals) // 1024), len(totals)), np.int64)
     for q, t in enumerate(totals):
-        place = 0
-        while place < t:
-            for _, n, w, _ in s.pieces(q, place, min(5000, t - place)):
+        for place in range(0, t, 5000):
+            for _, n, w, _ in mixture.pieces(q, place, min(5000, t - place)):
                 share[w, q] += n
-            place += min(5000, t - place)
+    return share
+
+
+@pytest.mark.parametrize("totals", [[600_000, 300_000, 99_000, 1_000], [50_000] * 24, [700_000, *range(1000, 40_000, 1900)], [1], [1023, 1]])
+def test_windows_keep_the_mixture(totals):
+    share = shares(packing.Mixture(totals), totals)
     assert share.sum(0).tolist() == totals and (share.sum(1)[:-1] == 1024).all()
-    # what a queue is ahead or behind stays within a few servings, over any number of windows
-    ahead = np.cumsum(share, 0) - np.arange(1, len(share) + 1)[:, None] * 1024 * np.array(totals) / sum(totals)
-    assert np.abs(ahead[:-1]).max() < 1024
+    target = 1024 * np.array(totals) / sum(totals)
+    assert np.abs(share[:-1] - target).max(initial=0) < 3
+    # what a queue is ahead or behind is carried over windows and blocks
+    ahead = np.cumsum(share, 0) - np.arange(1, len(share) + 1)[:, None] * target
+    assert np.abs(ahead[:-1]).max(initial=0) < 3
+
+
+def test_blocks_continue_a_plain_round_robin():
+    """One block over all windows is the round-robin run as it is; cut into blocks no queue is off by more than tokens."""
+    totals = [40_000, 30_000, 20_000, 9_000, 701]
+    plain = packing.Schedule(totals, block_windows=1 << 20)
+    cut = packing.Schedule(totals, block_windows=4)
+    assert plain.blocks == 1 and cut.blocks > 20
+    assert np.abs(shares(plain, totals) - shares(cut, totals)).max() <= 3
 
 
 def test_many_sources_share_queues(spark):
-    pieces = packed(spark, [(i, PANGRAMS[i % 4], f"s{i}") for i in range(100)])
-    assert len({p.doc_id for p in pieces}) == 100 and max(p.queue for p in pieces) < packing.MAX_QUEUES
+    pieces = packed(spark, [(i, PANGRAMS[i % 4], f"s{i}") for i in range(100)], max_queues=16)
+    assert len({p.doc_id for p in pieces}) == 100 and max(p.queue for p in pieces) < 16
+    # every source of a shared queue keeps its deficit
+    totals = [20_000] * 40
+    share = np.cumsum(shares(packing.Mixture(totals, 16), totals), 0)
+    target = np.arange(1, len(share) + 1)[:, None] * 1024 / 40
+    assert np.abs(share - target)[:-1].max() < 200
 
 
 # ------------------------------------------------------------------ 3

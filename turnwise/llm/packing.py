@@ -1,16 +1,17 @@
 """Operator 8. Mixture-controlled packing by deficit round-robin.
 
 Documents queue by source. Every window (a sequence of 1024 tokens) draws from the queues by deficit round-robin: a queue
-earns its share of the window, the queue with the largest deficit is served first, at least ``QUANTUM`` tokens at a time,
-and what a queue gets too much or too little is carried to the next window. The target proportions are those of the
-sources in the corpus, so all queues end together and only the last sequence can be short.
-
-How it is spread: the order of windows is cut into blocks. A binary tree shares each queue's tokens out to the blocks in
-whole tokens, so the deficits of a partition are carried to the next one without running them one after another; inside a
-block the round-robin runs as it is. Any task can work out the schedule of any block from the totals of the queues, hence
-tokens need not be shuffled: a document only needs its place in its queue, a prefix sum over task totals (broadcast up to
-``MAX_BROADCAST`` rows, joined beyond).
-The number of queues of a round-robin is at most ``MAX_QUEUES``. If there are more sources, they share queues, and a shared
+earns its share of the window and is served the whole tokens it has earned; single tokens that are left go to the largest
+deficits, and what a queue got too much or too little is carried to the next window. The queue that is served first
+goes round. The target proportions are those of the sources in the corpus, so every window holds each source's share to
+within a token or two, all queues end together and only the last sequence can be short.
+
+How it is spread: the order of windows is cut into blocks. A binary tree of the queues' totals tells how many tokens of each
+queue lie before any block, so a block starts with the deficits that the blocks before it leave, without running them, and
+ends with those that the next one starts with. Any task can work out the schedule of any block from the totals of the
+queues, hence tokens need not be shuffled: a document only needs its place in its queue, a prefix sum over task totals
+(broadcast up to ``MAX_BROADCAST`` rows, joined beyond).
+A window has no room for the shares of more than ``MAX_QUEUES`` sources. If there are more, they share queues, and a shared
 queue is itself dealt from its sources by a deficit round-robin, in as many levels as it takes; so every source keeps its
 deficit. Sources beyond that number go by a 64-bit hash of the name; its totals (16 bytes a source) are known to each task.
 
@@ -28,11 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnwise.llm.bpe import TokenIds
 from turnwise.llm.common import short_batches, text_batches, written
 
-WINDOW, BLOCK_WINDOWS, QUANTUM, MAX_QUEUES = 1024, 256, 128, 64
+WINDOW, BLOCK_WINDOWS, MAX_QUEUES = 1024, 256, 1024
+#: Servings of blocks that a task remembers.
+REMEMBER = 1 << 20
 #: Rows of 24 bytes that are broadcast at most.
 MAX_BROADCAST = 500_000
 
@@ -40,11 +44,13 @@ MAX_BROADCAST = 500_000
 class Schedule:
     """Which tokens of which queue lie where; a function of the queues' totals alone."""
 
-    def __init__(self, totals: list[int], window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, quantum: int = QUANTUM) -> None:
-        self.window, self.block_windows, self.quantum = window, block_windows, quantum
-        self.totals, self.blocks = totals, -(-sum(totals) // (window * block_windows))
+    def __init__(self, totals: list[int], window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> None:
+        self.window, self.block_windows = window, block_windows
+        self.totals, self.all = totals, sum(totals)
+        self.blocks = -(-self.all // (window * block_windows))
         self.splits: dict[tuple[int, int], list[int]] = {}
         self.made: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.servings = 0
 
     def left(self, lo: int, hi: int, totals: list[int]) -> list[int]:
         """The share of the left half of blocks [lo, hi): proportional, in whole tokens, largest remainders first."""
@@ -57,62 +63,65 @@ class Schedule:
             self.splits[lo, hi] = got
         return got
 
-    def find(self, queue: int, place: int) -> tuple[int, int, list[int]]:
-        """(block, place in the queue's tokens of the block, the block's share of each queue)."""
-        lo, hi, totals = 0, self.blocks, self.totals
+    def find(self, queue: int, place: int) -> tuple[int, int, list[int], list[int]]:
+        """(block, place in the queue's tokens of the block, the block's tokens of each queue, and those before it)."""
+        lo, hi, totals, before = 0, self.blocks, self.totals, [0] * len(self.totals)
         while hi - lo > 1:
             mid, left = (lo + hi) // 2, self.left(lo, hi, totals)
             if place < left[queue]:
                 hi, totals = mid, left
             else:
                 place -= left[queue]
-                lo, totals = mid, [t - x for t, x in zip(totals, left, strict=True)]
-        return lo, place, totals
+                lo, totals, before = mid, [t - x for t, x in zip(totals, left, strict=True)], [b + x for b, x in zip(before, left, strict=True)]
+        return lo, place, totals, before
 
-    def block(self, number: int, totals: list[int]) -> list[tuple[np.ndarray, ...]]:
+    def block(self, number: int, totals: list[int], before: list[int]) -> list[tuple[np.ndarray, ...]]:
         """For each queue: starts within its share of the block, windows, offsets and lengths of its servings."""
         if number in self.made:
             return self.made[number]
-        if len(self.made) > 256:
+        if self.servings > REMEMBER:
             self.made.clear()
-        left, all_ = list(totals), sum(totals)
-        earn = [t * self.window / all_ for t in totals]
-        deficit, given = [0.0] * len(totals), [0] * len(totals)
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in totals]
-        window = number * self.block_windows
-        while all_:
-            deficit = [d + e for d, e in zip(deficit, earn, strict=True)]
-            space, offset = min(self.window, all_), 0
-            all_ -= space
-            for q in sorted(range(len(totals)), key=lambda q: (-deficit[q], q)):
-                if take := min(left[q], space, max(int(deficit[q]), self.quantum)):
-                    out[q].append((given[q], window, offset, take))
-                    given[q] += take
-                    left[q] -= take
-                    deficit[q] -= take
-                    offset += take
-                    space -= take
-                if not space:
-                    break
-            while space:  # the quantum of every queue is spent: what is left, in order
-                q = max((q for q in range(len(totals)) if left[q]), key=lambda q: (deficit[q], -q))
-                take = min(left[q], space)
-                out[q].append((given[q], window, offset, take))
-                given[q] += take
-                left[q] -= take
-                deficit[q] -= take
-                offset += take
-                space -= take
-            window += 1
-        self.made[number] = [tuple(np.array([s[i] for s in o], np.int64) for i in range(4)) for o in out]
-        return self.made[number]
+            self.servings = 0
+        queues, rest = len(totals), sum(totals)
+        # deficits in parts of a token (of ``all``), as the blocks before leave them
+        done = sum(before)
+        deficit = np.array([t * done - b * self.all for t, b in zip(self.totals, before, strict=True)], np.int64)
+        earn, left, served = np.array(self.totals, np.int64), np.array(totals, np.int64), []
+        while rest:
+            space = min(self.window, rest)
+            rest -= space
+            deficit += earn * space
+            take = np.clip(deficit // self.all, 0, left)
+            while more := space - int(take.sum()):  # a token each to the largest deficits, or from the smallest
+                able = np.flatnonzero(take < left if more > 0 else take > 0)
+                owed = (deficit - take * self.all)[able]
+                chosen = able[np.argsort(-owed if more > 0 else owed, kind="stable")[: abs(more)]]
+                take[chosen] += 1 if more > 0 else -1
+            deficit -= take * self.all
+            left -= take
+            served.append(take)
+        take = np.array(served).reshape(-1, queues)
+        windows = number * self.block_windows + np.arange(len(take))
+        # the queue that is served first goes round
+        turn = (np.arange(queues) + windows[:, None]) % queues
+        turned = np.take_along_axis(take, turn, 1)
+        offsets = np.zeros_like(take)
+        np.put_along_axis(offsets, turn, np.cumsum(turned, 1) - turned, 1)
+        starts = np.cumsum(take, 0) - take
+        out = []
+        for q in range(queues):
+            w = np.flatnonzero(take[:, q])
+            out.append((starts[w, q], windows[w], offsets[w, q], take[w, q]))
+            self.servings += len(w)
+        self.made[number] = out
+        return out
 
     def pieces(self, queue: int, place: int, length: int) -> list[tuple[int, int, int, int]]:
         """(start in the document, length, window, offset) of the pieces of a document at a place of its queue."""
         out, done = [], 0
         while done < length:
-            number, at, totals = self.find(queue, place + done)
-            starts, windows, offsets, sizes = self.block(number, totals)[queue]
+            number, at, totals, before = self.find(queue, place + done)
+            starts, windows, offsets, sizes = self.block(number, totals, before)[queue]
             i = int(np.searchsorted(starts, at, "right")) - 1
             while done < length and i < len(starts):
                 skip = at - int(starts[i])
@@ -125,13 +134,14 @@ class Schedule:
 class Mixture:
     """Schedules in levels: where sources share a queue, a schedule of their own gives the order of its tokens."""
 
-    def __init__(self, totals: list[int]) -> None:
-        self.shared = [totals[q::MAX_QUEUES] for q in range(MAX_QUEUES)] if len(totals) > MAX_QUEUES else None
+    def __init__(self, totals: list[int], most: int = MAX_QUEUES) -> None:
+        self.most = most
+        self.shared = [totals[q::most] for q in range(most)] if len(totals) > most else None
         self.schedule = Schedule([sum(t) for t in self.shared] if self.shared else totals)
         self.below: dict[int, Mixture] = {}
 
     def queue(self, source: int) -> int:
-        return source % MAX_QUEUES if self.shared else source
+        return source % self.most if self.shared else source
 
     def pieces(self, source: int, place: int, length: int) -> list[tuple[int, int, int, int]]:
         """As those of ``Schedule``, by the number of a source."""
@@ -139,21 +149,21 @@ class Mixture:
             return self.schedule.pieces(source, place, length)
         q = self.queue(source)
         if q not in self.below:
-            self.below[q] = Mixture(self.shared[q])
+            self.below[q] = Mixture(self.shared[q], self.most)
         inner, out = self.below[q], []
-        for start, n, window, offset in inner.pieces(source // MAX_QUEUES, place, length):
+        for start, n, window, offset in inner.pieces(source // self.most, place, length):
             at = window * inner.schedule.window + offset
             out.extend((start + s, m, w, o) for s, m, w, o in self.schedule.pieces(q, at, n))
         return out
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, source_col: str, end: int) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, source_col: str, end: int, most: int = MAX_QUEUES) -> DataFrame:
     """A written table (part, queue, before, id, n, ids): tokens with the end token, and the source's tokens before in this part."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("source"))
-    names = sorted(r.source for r in rows.select("source").distinct().limit(MAX_QUEUES + 1).collect())
-    queues = {s: i for i, s in enumerate(names)} if len(names) <= MAX_QUEUES else None
+    names = sorted(r.source for r in rows.select("source").distinct().limit(most + 1).collect())
+    queues = {s: i for i, s in enumerate(names)} if len(names) <= most else None
     kind = docs.schema[id_col].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,10 +190,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     return written(rows.mapInArrow(run, f"part int, queue bigint, before bigint, id {kind}, n bigint, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end: int = 0, with_ids: bool = False, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, then the ids if asked for."""
     short_batches(docs.sparkSession)
-    tokens = tokenize(docs, path, pattern, id_col, text_col, source_col, end)
+    tokens = tokenize(docs, path, pattern, id_col, text_col, source_col, end, max_queues)
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     found = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy("queue").toArrow()
     names, totals = found.column("queue").to_numpy(), found.column("n").to_numpy()
@@ -195,7 +205,7 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Mixture(totals.tolist())
+        schedule = Mixture(totals.tolist(), max_queues)
         for b in batches:
             row, cols, parts = [], [], []
             sources = np.searchsorted(names, b.column(1).to_numpy()).tolist()
