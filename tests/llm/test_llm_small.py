@@ -244,6 +244,23 @@ def test_large_lists_are_cut_into_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
+def test_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(90, 24)) + 2.5
+    rows = [(i, [float(np.float32(x)) for x in base[i % 90] + rng.normal(0, 0.15, 24)], 0) for i in range(360)]
+    assert len(vectors.spread_pivots([v for _, v, _ in rows])[24]) >= vectors.ENOUGH
+    want = vectors.brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert sum(n for n, _ in want.values()) > 500
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values()) and all(got[i][0] <= n for i, (n, _) in want.items())
+
+
+def test_vectors_of_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0)]
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 # ------------------------------------------------------------------ 4
 
 
