@@ -46,34 +46,43 @@ def test_cluster_blobs(spark):
         cluster.average_linkage(np.zeros((2, 3)))
 
 
-def test_tracker():
+def test_recognise():
     axis = np.eye(8)
-    t = live.Tracker(0.5)
-    assert t.assign(axis[:1], [0]) == [0] and t.assign(axis[1:2], [0]) == [1]
+    known, ids = live.recognise(live.NOBODY, axis[:1], [0])
+    assert ids == [0]
+    known, ids = live.recognise(known, axis[1:2], [0])
+    assert ids == [1]
     noisy = axis[:1] + 0.05
-    assert t.assign(noisy / np.linalg.norm(noisy), [0]) == [0]
-    assert t.assign(np.stack([axis[1], axis[0]]), [0, 1]) == [1, 0]
-    t = live.Tracker(0.9)
-    t.assign(np.repeat(axis[:1], 9, 0), [0] * 9)
-    tilted = (axis[0] + axis[1]) / np.sqrt(2)
-    t.assign(tilted[None], [0])
-    assert t.centroids[0][0] > 0.9 and t.counts == [10]
+    assert live.recognise(known, noisy / np.linalg.norm(noisy), [0])[1] == [0]
+    assert live.recognise(known, np.stack([axis[1], axis[0]]), [0, 1])[1] == [1, 0]
+    # the order of local labels decides who is new first, not that of the windows
+    assert live.recognise(live.NOBODY, np.stack([axis[1], axis[0]]), [1, 0])[1] == [1, 0]
+    known, _ = live.recognise(live.NOBODY, np.repeat(axis[:1], 9, 0), [0] * 9, 0.9)
+    known, ids = live.recognise(known, ((axis[0] + axis[1]) / np.sqrt(2))[None], [0], 0.9)
+    assert ids == [0] and known.centres[0][0] > 0.9 and known.windows.tolist() == [10]
 
 
-def session(**kw):
-    words = lambda x: [(1.0, 1.5, "hi", 1.0)]
-    return live.LiveSession(lambda x: [(0.0, len(x) / models.RATE)], lambda x, w: np.ones((len(w), 8)), words, **kw)
+def using(words=((1.0, 1.5, "hi", 1.0),)):
+    return live.Models(lambda x: [(0.0, len(x) / models.RATE)], lambda x, w: np.ones((len(w), 8)), lambda x: list(words))
 
 
-def test_live_session_chunks_and_flushes():
-    s = session()
-    assert s.feed(np.zeros(3 * models.RATE)) == []
-    assert len(s.feed(np.zeros(2 * models.RATE))) == 1
-    (second,) = s.feed(np.zeros(5 * models.RATE))
+def test_advance_by_chunks():
+    def seconds(n):
+        return np.zeros(n * models.RATE)
+
+    state, made = live.advance(using(), None, seconds(3))
+    assert made == []
+    state, made = live.advance(using(), state, seconds(2))
+    assert len(made) == 1
+    state, (second,) = live.advance(using(), state, seconds(5))
     assert second["start"] == 6.0 and second["speaker"] == "SPEAKER_00"
-    assert s.feed(np.zeros(models.RATE)) == [] and len(s.flush()) == 1 and s.flush() == []
-    silent = live.LiveSession(lambda x: [(0.0, 1.0)], lambda x, w: np.ones((len(w), 8)), lambda x: [])
-    assert silent.feed(np.zeros(5 * models.RATE)) == [] and silent.tracker.counts == []
+    state, made = live.advance(using(), state, seconds(1))
+    assert made == [] and len(live.advance(using(), state, seconds(0), last=True)[1]) == 1
+    # many chunks at once are as many steps; a stop with nothing open gives nothing
+    assert len(live.advance(using(), None, seconds(12), last=True)[1]) == 3
+    assert live.advance(using(), None, seconds(0), last=True)[1] == []
+    (_, done, known), made = live.advance(using(()), None, seconds(5))
+    assert made == [] and done == 5 * models.RATE and not len(known.windows)
 
 
 def test_live_stream_survives_a_restart_and_order(spark, tmp_path):
@@ -106,7 +115,7 @@ def test_jobs(spark, tmp_path):
     jobs.run_jobs(jobs.dropped_files(spark, str(drop)), seg, table, status, str(tmp_path / "ck")).awaitTermination()
     got = {r.filename: (r.status, r.error, r.segments) for r in jobs.job_response(spark.read.parquet(status), spark.read.parquet(table)).collect()}
     assert got["a.wav"][0] == "done" and got["a.wav"][1] is None and len(got["a.wav"][2]) == 1
-    assert got["b.txt"][:2] == ("error", "unsupported file type .txt")
+    assert got["b.txt"][:2] == ("error", "no audio by its name: .txt")
     assert "c.wav" not in got  # Spark's file source doesn't list empty files
 
 
@@ -120,7 +129,7 @@ def test_mixtures(spark):
     order = mixture.interleaved(["A"] * 3 + ["B"] * 3, 0)
     assert sorted(order) == list(range(6)) and [i for i in order if i < 3] == [0, 1, 2]
     assert mixture.interleaved(["A", "A"], 1) == [0, 1]
-    with pytest.raises(Exception, match="share one sample rate"):
+    with pytest.raises(Exception, match="mixes sample rates"):
         mixture.build_mixture(spark.createDataFrame([u(0, "A", 10), ("r", 1, "B", "t", 200, [0.0])], ddl)).collect()
 
 

@@ -33,38 +33,41 @@ def srt(segments: list[dict]) -> str:
 
 
 class Jobs:
-    """Jobs run one after the other; their segments can be read while they run."""
+    """Jobs run one after the other; their segments can be read while they run.
 
-    def __init__(self, stream: Stream) -> None:
-        self.stream, self.jobs, self.lock, self.pool = stream, {}, threading.Lock(), ThreadPoolExecutor(1)
+    Uploads lie in ``folder`` while they are worked on: on a cluster it must be one that executors see.
+    """
+
+    def __init__(self, stream: Stream, folder: str | None = None) -> None:
+        self.stream, self.folder, self.jobs, self.lock, self.pool = stream, folder, {}, threading.Lock(), ThreadPoolExecutor(1)
 
     def submit(self, filename: str, data: bytes) -> tuple[int, dict]:
         suffix = os.path.splitext(filename)[1].lower()
         if suffix not in SUFFIXES:
-            return 415, {"detail": f"unsupported file type {suffix or '(none)'}; send one of {', '.join(SUFFIXES)}"}
+            return 415, {"detail": f"no audio by its name: {suffix or '(none)'}", "accepted": list(SUFFIXES)}
         if not data:
-            return 400, {"detail": "empty upload"}
-        job = {"id": uuid.uuid4().hex[:12], "filename": filename, "status": "queued", "segments": [], "error": None}
-        handle, path = tempfile.mkstemp(suffix)
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
+            return 400, {"detail": "the file has no bytes"}
+        name = uuid.uuid4().hex[:12]
+        self._tell(name, id=name, filename=filename, status="queued", segments=[], error=None)
+        self.pool.submit(self._work, name, suffix, data)
+        return 202, {"id": name, "status": "queued"}
+
+    def _tell(self, name: str, **news: object) -> None:
         with self.lock:
-            self.jobs[job["id"]] = job
-        self.pool.submit(self._run, job, path)
-        return 202, {"id": job["id"], "status": "queued"}
-
-    def _run(self, job: dict, path: str) -> None:
-        try:
-            job["status"] = "running"
-            for segment in self.stream(path):
-                with self.lock:
-                    job["segments"].append(segment)
-            job["status"] = "done"
-        except Exception as e:  # told by the job, the worker goes on
-            job["error"] = f"{type(e).__name__}: {e}"
-            job["status"] = "error"
-        finally:
-            os.unlink(path)
+            self.jobs.setdefault(name, {}).update(news)
+
+    def _work(self, name: str, suffix: str, data: bytes) -> None:
+        self._tell(name, status="running")
+        with tempfile.NamedTemporaryFile(suffix=suffix, dir=self.folder) as upload:
+            upload.write(data)
+            upload.flush()
+            try:
+                for segment in self.stream(upload.name):
+                    with self.lock:
+                        self.jobs[name]["segments"].append(segment)
+            except Exception as e:  # its job tells it, others go on
+                return self._tell(name, status="error", error=f"{type(e).__name__}: {e}")
+        return self._tell(name, status="done")
 
     def response(self, job: dict) -> dict:
         with self.lock:
@@ -86,8 +89,8 @@ class Jobs:
             time.sleep(0 if new else poll)
 
 
-def create_server(stream: Stream, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
-    jobs = Jobs(stream)
+def create_server(stream: Stream, port: int = 0, host: str = "127.0.0.1", folder: str | None = None) -> ThreadingHTTPServer:
+    jobs = Jobs(stream, folder)
 
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *_: object) -> None:
@@ -114,11 +117,11 @@ def create_server(stream: Stream, port: int = 0, host: str = "127.0.0.1") -> Thr
                 return self.reply(200, {"status": "ok"})
             job = jobs.jobs.get(parts[1]) if len(parts) in (2, 3) and parts[0] == "jobs" else None
             if job is None:
-                return self.reply(404, {"detail": "no such job"})
+                return self.reply(404, {"detail": "unknown job"})
             if len(parts) == 2:
                 return self.reply(200, jobs.response(job))
             if parts[2] == "srt":
-                return self.reply(200, srt(job["segments"]), "text/plain; charset=utf-8") if job["status"] == "done" else self.reply(409, {"detail": f"job is {job['status']}"})
+                return self.reply(200, srt(job["segments"]), "text/plain; charset=utf-8") if job["status"] == "done" else self.reply(409, {"detail": f"no subtitles while {job['status']}"})
             if parts[2] != "stream":
                 return self.reply(404, {"detail": "not found"})
             self.send_response(200)

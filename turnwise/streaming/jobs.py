@@ -20,7 +20,7 @@ def dropped_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    problem = F.when(~suffix.isin(*SUFFIXES), F.concat(F.lit("unsupported file type "), F.when(suffix == "", "(none)").otherwise(suffix)))
+    problem = F.when(~suffix.isin(*SUFFIXES), F.concat(F.lit("no audio by its name: "), F.when(suffix == "", "(none)").otherwise(suffix)))
     return files.select(F.substring(F.sha2("path", 256), 1, 12).alias("job"), name.alias("filename"), suffix.alias("suffix"), "content", problem.alias("problem"))
 
 
