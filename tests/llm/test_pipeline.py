@@ -50,3 +50,6 @@ def test_nulls_and_repeated_rows(spark, tmp_path):
         docs = stage(spark, docs, sf)
         assert docs.count() == 5, name
         assert "chunk" in docs.columns and {r.predicted for r in docs.collect()} == {"p"}
+    pieces = corpus_pipeline.pack(spark, docs, sf).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 2, 3} and sum(r.length for r in pieces if r.doc_id in (1, 2)) == 2
+    assert sum(r.length for r in pieces if r.doc_id == 3) == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 3)

@@ -11,7 +11,7 @@ queue lie before any block, so a block starts with the deficits that the blocks
 ends with those that the next one starts with. Any task can work out the schedule of any block from the totals of the
 queues, hence tokens need not be shuffled: a document only needs its place in its queue, a prefix sum over task totals
 (broadcast up to ``MAX_BROADCAST`` rows, joined beyond).
-A window has no room for the shares of more than ``MAX_QUEUES`` sources. If there are more, they share queues, and a shared
+With more than ``MAX_QUEUES`` sources a window would be cut into scraps, so they share queues, and a shared
 queue is itself dealt from its sources by a deficit round-robin, in as many levels as it takes; so every source keeps its
 deficit. Sources beyond that number go by a 64-bit hash of the name; its totals (16 bytes a source) are known to each task.
 
@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from turnwise.llm.bpe import TokenIds
 from turnwise.llm.common import short_batches, text_batches, written
 
-WINDOW, BLOCK_WINDOWS, MAX_QUEUES = 1024, 256, 1024
+WINDOW, BLOCK_WINDOWS, MAX_QUEUES = 1024, 256, 64
 #: Servings of blocks that a task remembers.
 REMEMBER = 1 << 20
 #: Rows of 24 bytes that are broadcast at most.
