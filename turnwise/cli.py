@@ -134,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
         from turnwise.operators.timeline import merge_regions, slice_windows
 
         c = models.ClusteredConfig()
-        order = manifest.select(F.col("id").alias("rec_id"), F.dense_rank().over(Window.orderBy("id")).alias("mix_idx"))
+        order = manifest.select(F.col("id").alias("rec_id"), (F.dense_rank().over(Window.orderBy("id")) - 1).alias("mix_idx"))  # a row a recording, of the manifest alone
         bounds = [given if given is not None else known for given, known in zip((args.lo, args.hi, args.step), GRIDS[args.param], strict=True)]
         values = sweep.grid(*bounds)
         if args.param == "pad":

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import ratio
 
+#: Values of a range of ``numbered``.
+RANGE = 4096
+
 
 def grid(lo: float, hi: float, step: float) -> list[str]:
     """The values lo, lo + step ... hi as keys with two places."""
@@ -14,9 +17,21 @@ def grid(lo: float, hi: float, step: float) -> list[str]:
     return [f"{(round(lo * 10_000) + i * round(step * 10_000)) / 10_000:.2f}" for i in range(n + 1) if round(lo * 10_000) + i * round(step * 10_000) <= round(hi * 10_000)]
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds the place (from 0) of each row in the order of a unique integer column.
+
+    Rows are numbered within ranges of ``RANGE`` values; only a count for each range meets in one task.
+    """
+    at = F.floor(F.col(by) / RANGE)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(at.alias("_range")).agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return rows.withColumn("_range", at).join(ranges, "_range").withColumn(name, F.col("_ahead") + within).drop("_range", "_ahead")
+
+
 def with_split(cells: DataFrame, order: str = "mix_idx") -> DataFrame:
-    """Adds split: the recordings in order are calibration, heldout, calibration and so on."""
-    return cells.withColumn("split", F.when((F.dense_rank().over(Window.partitionBy("value").orderBy(order)) - 1) % 2 == 0, "calibration").otherwise("heldout"))
+    """Adds split: the recordings, by their places in order from 0, are calibration, heldout, calibration and so on."""
+    return cells.withColumn("split", F.when(F.col(order) % 2 == 0, "calibration").otherwise("heldout"))
 
 
 def roll_up(cells: DataFrame) -> DataFrame:

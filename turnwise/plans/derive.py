@@ -107,7 +107,3 @@ correct AS (SELECT ha.rec_id, sum(dur) AS c FROM ha JOIN mapping USING (rec_id,
 der AS (SELECT e.rec_id, coalesce(missed, 0) AS missed, coalesce(fa, 0) AS false_alarm, coalesce(b - coalesce(c, 0), 0) AS confusion, coalesce(total, 0) AS total_reference
   FROM (SELECT DISTINCT rec_id FROM ref) e LEFT JOIN sums USING (rec_id) LEFT JOIN correct USING (rec_id))"""
 NORMAL = r"""norm AS (SELECT doc_id, list_filter(string_split(replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]+', ' ', 'g'), '([a-z])''([a-z])', '\1#\2', 'g'), '([a-z])''([a-z])', '\1#\2', 'g'), '''', ' '), '#', ''''), ' '), lambda w: w <> '') AS ws FROM documents)"""
-PAIRS = NORMAL + """,
-refs AS (SELECT doc_id, ws[1:20] AS ref FROM norm),
-keep AS (SELECT doc_id, ref, list_filter(ref, lambda w, i: (i - 1 + doc_id) % 7 <> 0) AS k FROM refs),
-pairs AS (SELECT doc_id, ref, list_transform(k, lambda w, i: CASE WHEN ((i - 1) * 3 + doc_id) % 11 = 0 THEN 'zz' ELSE w END) AS hyp FROM keep)"""
