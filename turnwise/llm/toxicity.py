@@ -3,8 +3,8 @@
 A bounded, hash-ordered sample of labelled rows (``MAX_EXAMPLES``) gives the examples. Terms are lower-cased words and word
 beginnings of four to six letters; the vocabulary holds all terms that stand in a larger share of the toxic examples than of
 the others and whose presence depends on the label (G-squared). Their document frequencies are counted over the whole corpus. Examples lie in an
-inverted index with blocks of 64 examples and the largest weight of each term in each block; a query visits blocks in the
-order of their bounds and stops when no block can improve the exact top ``NEIGHBOURS`` by TF-IDF cosine. The neighbours'
+inverted index with blocks of 64 examples and the largest weight of each term in each block; a query scores the blocks with
+the largest bounds, then those that can still improve the exact top ``NEIGHBOURS`` by TF-IDF cosine, and no others. The neighbours'
 labels, weighted by squared cosine, give a vote; a logistic curve fitted on leave-one-out votes of the examples turns it
 into a score. The neighbours and cosines are the evidence. Index and vocabulary are bounded by the examples, so
 they are broadcast; scoring is one pass over the corpus without a shuffle.
@@ -32,6 +32,8 @@ from turnwise.llm.common import columns, short_batches, written
 MAX_EXAMPLES = 30_000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored before others are left out by their bounds.
+FIRST = 16
 #: A term must depend on the label by so much.
 LEAST_G2 = 15.0
 #: The vote of an empty neighbourhood weighs as much as a neighbour at cosine 0.3.
@@ -79,7 +81,9 @@ class Index:
     labels: np.ndarray
     slope: float
     offset: float
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # examples, weights, block bounds
+    who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples of all postings, by term
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    at: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))  # (terms, blocks + 1): where a block's postings begin
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
@@ -89,37 +93,57 @@ class Index:
 
     def build(self, vectors: list[dict[int, float]]) -> None:
         blocks = -(-len(vectors) // BLOCK)
-        by_term: list[tuple[list[int], list[float]]] = [([], []) for _ in self.vocabulary]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term[t][0].append(i)
-                by_term[t][1].append(w)
-        self.block_max = np.zeros((len(by_term), blocks))
-        self.postings = []
-        for t, (who, weight) in enumerate(by_term):
-            who_, weight_ = np.array(who, np.int64), np.array(weight, np.float64)
-            np.maximum.at(self.block_max[t], who_ // BLOCK, weight_)
-            self.postings.append((who_, weight_, np.searchsorted(who_, np.arange(blocks + 1) * BLOCK)))
+        sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        who = np.repeat(np.arange(len(vectors)), sizes)
+        term = np.fromiter((t for v in vectors for t in v), np.int64, len(who))
+        weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(who))
+        order = np.lexsort((who, term))
+        self.who, self.weight = who[order], weight[order]
+        cells = term[order] * blocks + self.who // BLOCK
+        edges = np.searchsorted(cells, np.arange(len(self.vocabulary) * blocks + 1))
+        self.at = np.lib.stride_tricks.sliding_window_view(edges, blocks + 1)[::blocks].copy() if blocks else np.zeros((len(self.vocabulary), 1), np.int64)
+        self.block_max = np.zeros((len(self.vocabulary), blocks))
+        np.maximum.at(self.block_max.reshape(-1), cells, self.weight)
+
+    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples of the blocks with a positive cosine, their cosines)."""
+        begin = self.at[terms][:, blocks].ravel()
+        size = self.at[terms][:, blocks + 1].ravel() - begin
+        ends = np.cumsum(size)
+        i = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+        place = np.zeros(self.block_max.shape[1], np.int64)
+        place[blocks] = np.arange(len(blocks))
+        who = self.who[i]
+        scores = np.bincount(place[who // BLOCK] * BLOCK + who % BLOCK, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[i], len(blocks) * BLOCK)
+        found = np.flatnonzero(scores > 0)
+        return blocks[found // BLOCK] * BLOCK + found % BLOCK, scores[found]
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The exact top k (cosine, example), best first, ties to the smaller example; only positive cosines."""
-        if not query or not len(self.block_max):
+        """The exact top k (cosine, example), best first, ties to the smaller example; only positive cosines.
+
+        The blocks with the largest bounds are scored first; of the others only those that can reach the k-th best of them.
+        """
+        if not query or not self.block_max.size:
             return []
-        terms = sorted(query)
-        weights = np.array([query[t] for t in terms])
+        terms = np.array(sorted(query))
+        weights = np.array([query[t] for t in terms.tolist()])
         bounds = weights @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-12 < best[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights.tolist(), strict=True):
-                who, weight, at = self.postings[t]
-                x, y = at[b], at[b + 1]
-                scores[who[x:y] - b * BLOCK] += w * weight[x:y]
-            here = [(float(scores[i]), b * BLOCK + i) for i in np.flatnonzero(scores > 0).tolist() if b * BLOCK + i != without]
-            best = sorted([*best, *here], key=lambda s: (-s[0], s[1]))[:k]
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        who, score = np.zeros(0, np.int64), np.zeros(0)
+        for part in (order[:FIRST], order[FIRST:]):
+            if len(score) >= k:
+                part = part[bounds[part] + 1e-12 >= score[k - 1]]
+            if not len(part):
+                continue
+            more, value = self._scored(terms, weights, part)
+            who, score = np.concatenate([who, more[more != without]]), np.concatenate([score, value[more != without]])
+            if len(score) > 4 * k:  # whatever ties with the k-th stays until the order by example
+                stay = score >= np.partition(score, -k)[-k]
+                who, score = who[stay], score[stay]
+            best = np.lexsort((who, -score))[:k]
+            who, score = who[best], score[best]
+        return list(zip(score.tolist(), who.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = PRIOR + sum(s * s for s, _ in near)
@@ -217,10 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         df[r.t] = r.df
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
     index = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
-    vectors, ids, marks, votes, truth = [], [], [], [], []
+    vectors, ids, marks = [], [], []
     for r in found:
         v = index.weigh(dict(zip(r.terms, r.counts, strict=True)))
-        truth.append(r.y)
         if v:
             vectors.append(v)
             ids.append(r.id)
