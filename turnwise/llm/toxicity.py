@@ -83,7 +83,7 @@ class Index:
     offset: float
     who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples of all postings, by term
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    at: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))  # (terms, blocks + 1): where a block's postings begin
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where a term's postings begin
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
@@ -100,24 +100,10 @@ class Index:
         order = np.lexsort((who, term))
         self.who, self.weight = who[order], weight[order]
         cells = term[order] * blocks + self.who // BLOCK
-        edges = np.searchsorted(cells, np.arange(len(self.vocabulary) * blocks + 1))
-        self.at = np.lib.stride_tricks.sliding_window_view(edges, blocks + 1)[::blocks].copy() if blocks else np.zeros((len(self.vocabulary), 1), np.int64)
+        self.at = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
         self.block_max = np.zeros((len(self.vocabulary), blocks))
         np.maximum.at(self.block_max.reshape(-1), cells, self.weight)
 
-    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples of the blocks with a positive cosine, their cosines)."""
-        begin = self.at[terms][:, blocks].ravel()
-        size = self.at[terms][:, blocks + 1].ravel() - begin
-        ends = np.cumsum(size)
-        i = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
-        place = np.zeros(self.block_max.shape[1], np.int64)
-        place[blocks] = np.arange(len(blocks))
-        who = self.who[i]
-        scores = np.bincount(place[who // BLOCK] * BLOCK + who % BLOCK, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[i], len(blocks) * BLOCK)
-        found = np.flatnonzero(scores > 0)
-        return blocks[found // BLOCK] * BLOCK + found % BLOCK, scores[found]
-
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The exact top k (cosine, example), best first, ties to the smaller example; only positive cosines.
 
@@ -128,16 +114,22 @@ class Index:
         terms = np.array(sorted(query))
         weights = np.array([query[t] for t in terms.tolist()])
         bounds = weights @ self.block_max[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
+        size = self.at[terms + 1] - self.at[terms]
+        ends = np.cumsum(size)
+        i = np.repeat(self.at[terms] - ends + size, size) + np.arange(ends[-1])
+        posted, part = self.who[i], np.repeat(weights, size) * self.weight[i]
+        block = posted // BLOCK
+        first = np.zeros(len(bounds), bool)
+        first[np.argpartition(-bounds, min(FIRST, len(bounds)) - 1)[:FIRST]] = True
         who, score = np.zeros(0, np.int64), np.zeros(0)
-        for part in (order[:FIRST], order[FIRST:]):
+        for chosen in (first, ~first):
             if len(score) >= k:
-                part = part[bounds[part] + 1e-12 >= score[k - 1]]
-            if not len(part):
-                continue
-            more, value = self._scored(terms, weights, part)
-            who, score = np.concatenate([who, more[more != without]]), np.concatenate([score, value[more != without]])
+                chosen = chosen & (bounds + 1e-12 >= score[k - 1])
+            here = chosen[block]
+            scores = np.bincount(posted[here], part[here], 1)
+            more = np.flatnonzero(scores > 0)
+            more = more[more != without]
+            who, score = np.concatenate([who, more]), np.concatenate([score, scores[more]])
             if len(score) > 4 * k:  # whatever ties with the k-th stays until the order by example
                 stay = score >= np.partition(score, -k)[-k]
                 who, score = who[stay], score[stay]
@@ -250,8 +242,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             marks.append(r.y)
     index.ids, index.labels = np.array(ids), np.array(marks, float)
     index.build(vectors)
-    votes = [index.vote(index.nearest(v, without=i)) for i, v in enumerate(vectors)] + [0.0] * (len(found) - len(vectors))
-    index.slope, index.offset = _calibrate(np.array(votes), np.array([*marks, *[r.y for r in found if not r.terms]], float))
+    shared = spark.sparkContext.broadcast(index)
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        counter, place = TermCounter(ix.vocabulary), {x: i for i, x in enumerate(ix.ids.tolist())}
+        for b in batches:
+            votes = [ix.vote(ix.nearest(ix.weigh(c), without=place.get(x, -1))) if (c := counter.count(t)) else 0.0 for t, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "y"])
+
+    voted = examples.mapInArrow(leave_one_out, "vote double, y int").orderBy("vote", "y").toArrow()
+    index.slope, index.offset = _calibrate(voted.column("vote").to_numpy(), voted.column("y").to_numpy().astype(float))
     return index
 
 
