@@ -251,8 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             votes = [ix.vote(ix.nearest(ix.weigh(c), without=place.get(x, -1))) if (c := counter.count(t)) else 0.0 for t, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "y"])
 
-    voted = examples.mapInArrow(leave_one_out, "vote double, y int").orderBy("vote", "y").toArrow()
-    index.slope, index.offset = _calibrate(voted.column("vote").to_numpy(), voted.column("y").to_numpy().astype(float))
+    voted = examples.mapInArrow(leave_one_out, "vote double, y int").toArrow()
+    votes, marked = voted.column("vote").to_numpy(), voted.column("y").to_numpy().astype(float)
+    order = np.lexsort((marked, votes))  # sums then don't depend on the order of tasks
+    index.slope, index.offset = _calibrate(votes[order], marked[order])
     return index
 
 
