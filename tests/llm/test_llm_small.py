@@ -404,13 +404,20 @@ def test_toxicity_without_labels(spark):
     assert not toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), none)).count()
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize(("n_terms", "n_examples"), [(30, 700), (400, 3000)])
+def test_nearest_is_exact(n_terms, n_examples):
     rng = np.random.default_rng(5)
-    index = toxicity.Index({str(i): i for i in range(30)}, np.ones(30), np.arange(700), rng.integers(0, 2, 700).astype(float), 1.0, 0.0)
-    examples = [index.weigh({int(t): int(rng.integers(1, 5)) for t in rng.choice(30, rng.integers(1, 6), replace=False)}) for _ in range(700)]
+    index = toxicity.Index({str(i): i for i in range(n_terms)}, np.linspace(1, 4, n_terms), np.arange(n_examples), rng.integers(0, 2, n_examples).astype(float), 1.0, 0.0)
+    chance = 1 / np.arange(1, n_terms + 1)
+    draw = lambda n: rng.choice(n_terms, n, replace=False, p=chance / chance.sum()).tolist()
+    examples = [index.weigh({t: int(rng.integers(1, 5)) for t in draw(rng.integers(1, 9))}) for _ in range(n_examples)]
     index.build(examples)
-    for _ in range(50):
-        q = index.weigh({int(t): 1 for t in rng.choice(30, 4, replace=False)})
-        cosines = sorted(((sum(q.get(t, 0) * w for t, w in e.items()), i) for i, e in enumerate(examples)), key=lambda s: (-s[0], s[1]))
-        want = [s for s, _ in cosines if s > 0][: toxicity.NEIGHBOURS]
-        assert [s for s, _ in index.nearest(q)] == pytest.approx(want)
+    queries = [index.weigh({t: 1 for t in draw(n % 6)}) for n in range(150)] + examples[:50]
+    without = [-1] * 150 + list(range(50))
+    for q, w, got in zip(queries, without, index.nearest(queries, without=without), strict=True):
+        cosines = [sum(q.get(t, 0) * x for t, x in e.items()) if i != w else 0.0 for i, e in enumerate(examples)]
+        want = sorted((s for s in cosines if s > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert [s for s, _ in got] == pytest.approx(want)
+        assert [cosines[i] for _, i in got] == pytest.approx(want) and len({i for _, i in got}) == len(got)
+    alone = [index.nearest([q], without=[w])[0] for q, w in zip(queries, without, strict=True)]
+    assert alone == index.nearest(queries, without=without)

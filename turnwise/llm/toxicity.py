@@ -3,10 +3,12 @@
 A bounded, hash-ordered sample of labelled rows (``MAX_EXAMPLES``) gives the examples. Terms are lower-cased words and word
 beginnings of four to six letters; the vocabulary holds all terms that stand in a larger share of the toxic examples than of
 the others and whose presence depends on the label (G-squared). Their document frequencies are counted over the whole corpus. Examples lie in an
-inverted index with blocks of 64 examples and the largest weight of each term in each block; a query scores the blocks with
-the largest bounds, then those that can still improve the exact top ``NEIGHBOURS`` by TF-IDF cosine, and no others. The neighbours'
-labels, weighted by squared cosine, give a vote; a logistic curve fitted on leave-one-out votes of the examples turns it
-into a score. The neighbours and cosines are the evidence. Index and vocabulary are bounded by the examples, so
+inverted index, ordered by their number of terms, with blocks of 64 examples and the largest weight of each term in each
+block; a query scores only blocks that by these bounds can still reach its top ``NEIGHBOURS`` by TF-IDF cosine. Postings of
+frequent terms lie in a dense single-precision matrix of bounded size, so a group of queries scores a span of blocks by one
+product; whatever is within the rounding error of the top is then computed in double precision, so the top is exact. The
+neighbours' labels, weighted by squared cosine, give a vote; a logistic curve fitted on leave-one-out votes of the examples
+turns it into a score. The neighbours and cosines are the evidence. Index and vocabulary are bounded by the examples, so
 they are broadcast; scoring is one pass over the corpus without a shuffle.
 
 Defined results: a score depends on the text alone; null and empty texts, and texts without a term of the vocabulary,
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import columns, short_batches, written
+from turnwise.llm.common import columns, scratch, short_batches, written
 
 MAX_EXAMPLES = 30_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks that are scored before others are left out by their bounds.
-FIRST = 16
+#: Blocks and queries of one product.
+SPAN, GROUP = 32, 64
+#: Bytes of the matrix of frequent terms at most; a term is frequent if it is in one example of so many.
+MATRIX_BYTES, FREQUENT = 64 << 20, 32
 #: A term must depend on the label by so much.
 LEAST_G2 = 15.0
 #: The vote of an empty neighbourhood weighs as much as a neighbour at cosine 0.3.
@@ -58,19 +63,31 @@ class TermCounter:
         self.vocabulary, self.known = vocabulary, {}
 
     def count(self, text: str | None) -> dict[int, int]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = Counter(_WORD.findall(text.lower())) if text else {}
         known = self.known
         if len(known) > 250_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
         out: dict[int, int] = {}
-        for ids in map(known.__getitem__, words):
-            for i in ids:
-                out[i] = out.get(i, 0) + 1
+        for w, n in words.items():
+            for i in known[w]:
+                out[i] = out.get(i, 0) + n
         return out
 
 
+@dataclass
+class Layout:
+    """What a worker makes of an index once: the matrix of frequent terms, its block maxima, and terms by example."""
+
+    place: np.ndarray  # a term's row in the matrix, or -1
+    matrix: np.ndarray
+    peak: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    at: np.ndarray  # where an example's terms begin
+
+
 @dataclass
 class Index:
     """Block-max inverted index over weighted examples."""
@@ -81,10 +98,13 @@ class Index:
     labels: np.ndarray
     slope: float
     offset: float
-    who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # examples of all postings, by term
+    who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # examples of all postings, by term
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where a term's postings begin
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    _made: Layout | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_made": None}
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
         raw = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in counts.items()}
@@ -92,50 +112,100 @@ class Index:
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
     def build(self, vectors: list[dict[int, float]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
         sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-        who = np.repeat(np.arange(len(vectors)), sizes)
+        who = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         term = np.fromiter((t for v in vectors for t in v), np.int64, len(who))
         weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(who))
         order = np.lexsort((who, term))
-        self.who, self.weight = who[order], weight[order]
-        cells = term[order] * blocks + self.who // BLOCK
+        self.who, self.weight, self._made = who[order], weight[order], None
         self.at = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
-        self.block_max = np.zeros((len(self.vocabulary), blocks))
-        np.maximum.at(self.block_max.reshape(-1), cells, self.weight)
 
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The exact top k (cosine, example), best first, ties to the smaller example; only positive cosines.
-
-        The blocks with the largest bounds are scored first; of the others only those that can reach the k-th best of them.
+    def layout(self) -> Layout:
+        if self._made is None:
+            n, sizes = len(self.ids), np.diff(self.at)
+            width = -(-n // BLOCK) * BLOCK
+            often = np.argsort(-sizes, kind="stable")[: MATRIX_BYTES // (4 * width)]
+            often = often[sizes[often] * FREQUENT >= n]
+            place = np.full(len(sizes), -1)
+            place[often] = np.arange(len(often))
+            matrix = np.zeros((len(often), width), np.float32)
+            for r, t in enumerate(often.tolist()):
+                matrix[r, self.who[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
+            order = np.argsort(self.who, kind="stable")
+            term = np.repeat(np.arange(len(sizes)), sizes)[order]
+            at = np.searchsorted(self.who[order], np.arange(n + 1))
+            self._made = Layout(place, matrix, matrix.reshape(len(often), width // BLOCK, BLOCK).max(2), term, self.weight[order], at)
+        return self._made
+
+    def nearest(self, queries: list[dict[int, float]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the exact top k (cosine, example), best first, ties to the smaller example; only positive cosines.
+
+        ``without`` names an example for each query that is none of its neighbours (-1: none).
         """
-        if not query or not self.block_max.size:
-            return []
-        terms = np.array(sorted(query))
-        weights = np.array([query[t] for t in terms.tolist()])
-        bounds = weights @ self.block_max[terms]
-        size = self.at[terms + 1] - self.at[terms]
+        if not len(self.ids) or not len(self.who):
+            return [[] for _ in queries]
+        out = []
+        for i in range(0, len(queries), GROUP):
+            group = queries[i : i + GROUP]
+            out += self._nearest(group, k, np.array(without[i : i + GROUP]) if without else np.full(len(group), -1))
+        return out
+
+    def _nearest(self, queries: list[dict[int, float]], k: int, without: np.ndarray) -> list[list[tuple[float, int]]]:
+        made, nq = self.layout(), len(queries)
+        width = made.matrix.shape[1]
+        blocks = width // BLOCK
+        # what sums in single precision can be off by, for both sides of a comparison
+        slack = 4 * (len(made.matrix) + 8) * 2.0**-23
+        sizes = np.fromiter(map(len, queries), np.int64, nq)
+        row = np.repeat(np.arange(nq), sizes)
+        term = np.fromiter((t for q in queries for t in q), np.int64, len(row))
+        weight = np.fromiter((w for q in queries for w in q.values()), np.float64, len(row))
+        place = made.place[term]
+        often = place >= 0
+        frequent = np.zeros((nq, len(made.matrix)), np.float32)
+        frequent[row[often], place[often]] = weight[often]
+        rare = term[~often]
+        size = self.at[rare + 1] - self.at[rare]
         ends = np.cumsum(size)
-        i = np.repeat(self.at[terms] - ends + size, size) + np.arange(ends[-1])
-        posted, part = self.who[i], np.repeat(weights, size) * self.weight[i]
-        block = posted // BLOCK
-        first = np.zeros(len(bounds), bool)
-        first[np.argpartition(-bounds, min(FIRST, len(bounds)) - 1)[:FIRST]] = True
-        who, score = np.zeros(0, np.int64), np.zeros(0)
-        for chosen in (first, ~first):
-            if len(score) >= k:
-                chosen = chosen & (bounds + 1e-12 >= score[k - 1])
-            here = chosen[block]
-            scores = np.bincount(posted[here], part[here], 1)
-            more = np.flatnonzero(scores > 0)
-            more = more[more != without]
-            who, score = np.concatenate([who, more]), np.concatenate([score, scores[more]])
-            if len(score) > 4 * k:  # whatever ties with the k-th stays until the order by example
-                stay = score >= np.partition(score, -k)[-k]
-                who, score = who[stay], score[stay]
-            best = np.lexsort((who, -score))[:k]
-            who, score = who[best], score[best]
-        return list(zip(score.tolist(), who.tolist(), strict=True))
+        i = np.repeat(self.at[rare] - ends + size, size) + np.arange(size.sum())
+        scores = np.bincount(np.repeat(row[~often] * width, size) + self.who[i], np.repeat(weight[~often], size) * self.weight[i], nq * width).astype(np.float32).reshape(nq, width)
+        bounds = frequent @ made.peak + scores.reshape(nq, blocks, BLOCK).max(2)
+        left_out = np.flatnonzero(without >= 0)
+        scores[left_out, without[left_out]] = -8.0
+
+        # the k-th largest of the block maxima so far is a lower bound of the k-th best
+        best, floor = np.zeros((nq, blocks), np.float32), np.zeros(nq, np.float32)
+        starts = np.arange(0, blocks, SPAN)
+        reach = np.maximum.reduceat(bounds, starts, axis=1)
+        for s in np.argsort(-reach.sum(0), kind="stable").tolist():
+            a, b = s * SPAN, min(blocks, (s + 1) * SPAN)
+            able = reach[:, s] + slack >= floor
+            scores[~able, a * BLOCK : b * BLOCK] = 0.0
+            rows = np.flatnonzero(able)
+            if len(rows):
+                here = scores[rows, a * BLOCK : b * BLOCK] + frequent[rows] @ made.matrix[:, a * BLOCK : b * BLOCK]
+                scores[rows, a * BLOCK : b * BLOCK] = here
+                best[rows, a:b] = here.reshape(len(rows), b - a, BLOCK).max(2)
+                if blocks >= k:
+                    floor = np.maximum(np.partition(best, blocks - k, axis=1)[:, blocks - k], 0.0)
+
+        out, dense, begin = [], np.zeros(len(self.vocabulary)), np.concatenate([[0], np.cumsum(sizes)])
+        for r in range(nq):
+            mine = scores[r]
+            found = np.flatnonzero(mine >= floor[r] - slack) if floor[r] > slack else np.flatnonzero(mine > 0)
+            if len(found) > k:
+                found = found[mine[found] >= np.partition(mine[found], -k)[-k] - slack]
+            found = found[mine[found] > 0]
+            mark = slice(begin[r], begin[r + 1])
+            dense[term[mark]] = weight[mark]
+            size = made.at[found + 1] - made.at[found]
+            ends = np.cumsum(size)
+            i = np.repeat(made.at[found] - ends + size, size) + np.arange(size.sum())
+            exact = np.bincount(np.repeat(np.arange(len(found)), size), dense[made.term[i]] * made.weight[i], len(found))
+            dense[term[mark]] = 0.0
+            order = np.lexsort((found, -exact))[:k]
+            out.append(list(zip(exact[order].tolist(), found[order].tolist(), strict=True)))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = PRIOR + sum(s * s for s, _ in near)
@@ -179,7 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
     # repeated rows and exact copies among the examples count once
     examples = texts.join(F.broadcast(chosen), id_col).where(F.length(text_col) > 0).groupBy(F.col(text_col).alias("_t")).agg(F.min(id_col).alias("_id"), F.max("_y").alias("_y"))
-    examples = examples.select("_t", "_y", "_id")
+    path = scratch(spark, "examples")  # bounded; small files, so that all cores read them
+    examples.select("_t", "_y", "_id").write.option("maxRecordsPerFile", 1000).parquet(path)
+    examples = spark.read.schema(examples.select("_t", "_y", "_id").schema).parquet(path)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[str, list[int]] = {}
@@ -217,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    found = examples.mapInArrow(counts(vocabulary, 2), f"terms array<int>, counts array<int>, y int, id {kind}").orderBy("id").collect()
+    found = examples.mapInArrow(counts(vocabulary, 2), f"terms array<int>, counts array<int>, y int, id {kind}").collect()
+    found.sort(key=lambda r: (len(r.terms), r.id))  # examples of a block are then alike, and its bounds close
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
@@ -248,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ix = shared.value
         counter, place = TermCounter(ix.vocabulary), {x: i for i, x in enumerate(ix.ids.tolist())}
         for b in batches:
-            votes = [ix.vote(ix.nearest(ix.weigh(c), without=place.get(x, -1))) if (c := counter.count(t)) else 0.0 for t, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            near = ix.nearest([ix.weigh(counter.count(t)) for t in b.column(0).to_pylist()], without=[place.get(x, -1) for x in b.column(2).to_pylist()])
+            votes = [ix.vote(n) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "y"])
 
     voted = examples.mapInArrow(leave_one_out, "vote double, y int").toArrow()
@@ -268,17 +342,11 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        counter, none = TermCounter(ix.vocabulary), ix.score(0.0)
+        counter = TermCounter(ix.vocabulary)
         for b in batches:
-            scores, evidence = [], []
-            for t in b.column(1).to_pylist():
-                if counts := counter.count(t):
-                    near = ix.nearest(ix.weigh(counts))
-                    scores.append(ix.score(ix.vote(near)))
-                    evidence.append(",".join(f"{ix.ids[i]}:{s:.4f}:{int(ix.labels[i])}" for s, i in near[:5]))
-                else:
-                    scores.append(none)
-                    evidence.append("")
+            near = ix.nearest([ix.weigh(counter.count(t)) for t in b.column(1).to_pylist()])
+            scores = [ix.score(ix.vote(n)) for n in near]
+            evidence = [",".join(f"{ix.ids[i]}:{s:.4f}:{int(ix.labels[i])}" for s, i in n[:5]) for n in near]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence), *[b.column(2 + i) for i in range(len(carry))]], names=[id_col, "score", "predicted", "evidence", *carry])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)
