@@ -38,7 +38,9 @@ BLOCK = 64
 #: Blocks and queries of one product.
 SPAN, GROUP = 32, 64
 #: Bytes of the matrix of frequent terms at most; a term is frequent if it is in one example of so many.
-MATRIX_BYTES, FREQUENT = 64 << 20, 32
+MATRIX_BYTES, FREQUENT = 64 << 20, 16
+#: Pieces of more characters are not remembered.
+LONG_PIECE = 64
 #: A term must depend on the label by so much.
 LEAST_G2 = 15.0
 #: The vote of an empty neighbourhood weighs as much as a neighbour at cosine 0.3.
@@ -56,25 +58,49 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """Lower-cased text between white space; no word runs over it."""
+    return text.lower().split() if text else []
+
+
 class TermCounter:
-    """Occurrences of vocabulary terms in texts; what a word stands for is looked up once per task."""
+    """Occurrences of vocabulary terms in texts; what a piece between white space stands for is looked up once per task."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.vocabulary, self.known = vocabulary, {}
+        self.heads = {t[1:5] for t in vocabulary if t[0] == "^"}
+
+    def _learn(self, piece: str) -> list[int]:
+        vocabulary, heads, found = self.vocabulary, self.heads, []
+        for w in _WORD.findall(piece):
+            if w in vocabulary or w[:4] in heads:
+                found += [vocabulary[t] for t in terms_of(w) if t in vocabulary]
+        if len(piece) <= LONG_PIECE:
+            if len(self.known) >= 250_000:
+                self.known.clear()
+            self.known[piece] = found
+        return found
 
     def count(self, text: str | None) -> dict[int, int]:
-        words = Counter(_WORD.findall(text.lower())) if text else {}
-        known = self.known
-        if len(known) > 250_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
         out: dict[int, int] = {}
-        for w, n in words.items():
-            for i in known[w]:
+        known = self.known
+        for piece, n in Counter(pieces_of(text)).items():
+            ids = known.get(piece)
+            for i in self._learn(piece) if ids is None else ids:
                 out[i] = out.get(i, 0) + n
         return out
 
+    def present(self, text: str | None) -> list[int]:
+        out: set[int] = set()
+        known = self.known
+        for piece in set(pieces_of(text)):
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._learn(piece)
+            if ids:
+                out.update(ids)
+        return list(out)
+
 
 @dataclass
 class Layout:
@@ -259,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 totals[y > 0] += 1
-                for t in {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}:
+                for t in {t for piece in set(pieces_of(text)) for w in _WORD.findall(piece) for t in terms_of(w)}:
                     n.setdefault(t, [0, 0])[y > 0] += 1
         n[""] = totals
         yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], names=["term", "n1", "n0"])
@@ -296,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counter, df, n = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[list(counter.count(t))] += 1
+                df[counter.present(t)] += 1
                 n += 1
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["t", "df"])
