@@ -78,7 +78,7 @@ class TermCounter:
         if len(piece) <= LONG_PIECE:
             if len(self.known) >= 250_000:
                 self.known.clear()
-            self.known[piece] = found
+            self.known[piece] = tuple(found) if found else ()  # what is kept then is not traced
         return found
 
     def count(self, text: str | None) -> dict[int, int]:
