@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import columns, id_filter, may_hold, mix, partitions_for, short_batches, text_batches, windows_of, words_of, written
+from turnwise.llm.common import columns, id_filter, may_hold, mix, partitions_for, short_batches, text_batches, tidied, windows_of, words_of, written
 from turnwise.llm.graph import components
 
 WIDTH = 5
@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], names=["id", "n_shingles", "key", "sig"])
 
-    return columns(docs, id_col, text_col).select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n_shingles bigint, key binary, sig binary")
+    return columns(docs, id_col, text_col).select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(tidied(run), "id bigint, n_shingles bigint, key binary, sig binary")
 
 
 def _regions(sigs: np.ndarray) -> np.ndarray:
@@ -457,7 +457,7 @@ def pack_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], names=["rep", "packed"])
 
     rows = columns(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
-    packed = rows.withColumn("h", F.xxhash64("rep")).mapInArrow(run, "rep bigint, packed binary")
+    packed = rows.withColumn("h", F.xxhash64("rep")).mapInArrow(tidied(run), "rep bigint, packed binary")
     # of a repeated id one text is compared
     return packed.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("packed").alias("packed"))
 
@@ -487,7 +487,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     half = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("pb")), "b")
-    return half.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return half.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb").mapInArrow(tidied(run), "a bigint, b bigint, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

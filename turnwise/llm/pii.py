@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import arrow_rows, columns, short_batches
+from turnwise.llm.common import arrow_rows, columns, short_batches, tidied
 
 #: The order of the kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -153,7 +153,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             made = arrow_rows(pa.schema([*[(k, pa.int64()) for k in BASE], ("base", pa.string()), ("spans", pa.string())]), rows)
             yield pa.RecordBatch.from_arrays([b.column(0), *made.columns], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
 
-    return columns(docs, id_col, text_col).mapInArrow(run, schema)
+    return columns(docs, id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -166,7 +166,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
             texts = [t and redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.coalesce(F.char_length(text_col).cast(docs.schema[length_col].dataType), F.col(f"`{length_col}`")))
     return out

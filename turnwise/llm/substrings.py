@@ -141,16 +141,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, ids, hashes, second, text = _words(table)
         hit = np.concatenate([_unpack(d)[0] | (_M(b) << _M(38)) for b, d in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True)])
         hit.sort()
-        first, h = windows_of(hashes, text, block)
-        low = h >> _M(64 - bits - 38)
+        first, low = windows_of(hashes, text, block)
+        low >>= _M(64 - bits - 38)
         found = hit[np.minimum(np.searchsorted(hit, low), len(hit) - 1)] == low
-        total = np.zeros(len(hashes) + 1, np.int64)
+        total = np.zeros(len(hashes) + 1, np.int32)
         total[first[found] + 1] = 1
-        total = np.cumsum(total)
+        del first, low, found  # arrays by word go as soon as they may: a chunk has a million words
+        np.cumsum(total, out=total)
         start, wide = windows_of(hashes, text, width)
         near = total[start + width - block + 1] > total[start]
-        check = windows_of(second, text, width, check=True)[1][near].astype("<u4")
         start, wide = start[near], wide[near]
+        del hashes, total
+        check = windows_of(second, text, width, check=True)[1][near].astype("<u4")
+        del second, near
         if not len(wide):
             return _rows(_SENT, [])
         doc = ids[text[start]]
@@ -200,6 +203,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts, ids, hashes, second, text = _words(table)
         start, wide = windows_of(hashes, text, width)
         check = windows_of(second, text, width, check=True)[1].astype("<u4")
+        n = len(hashes)
+        del hashes, second
         gone = np.zeros(len(wide), bool)
         if len(wide):
             doc = ids[text[start]]
@@ -207,6 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             w, c, d = wide[order], check[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
             gone[order] = np.repeat(np.minimum.reduceat(d, at), np.diff(np.concatenate([at, [len(w)]]))) < d
+            del doc, order, w, c, d, at
             if answers.num_rows:
                 parts_ = [(np.frombuffer(x, "<u8", len(x) // 12), np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8)) for x in answers.column("data").to_pylist()]
                 far, far_check = np.concatenate([p for p, _ in parts_]), np.concatenate([p for _, p in parts_])
@@ -215,7 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for shift in range(int(np.bincount(np.searchsorted(far, far)).max())):  # more than one step only if two windows share a hash of 64 bits
                     i = np.minimum(np.searchsorted(far, wide) + shift, len(far) - 1)
                     gone |= (far[i] == wide) & (far_check[i] == check)
-        edge = np.zeros(len(hashes) + 1, np.int64)
+        edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, start[gone], 1)
         np.add.at(edge, start[gone] + width, -1)
         covered = np.cumsum(edge)[:-1] > 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import columns, scratch, short_batches, written
+from turnwise.llm.common import columns, scratch, short_batches, tidied, written
 
 MAX_EXAMPLES = 30_000
 NEIGHBOURS = 15
@@ -158,7 +158,7 @@ class Index:
             for r, t in enumerate(often.tolist()):
                 matrix[r, self.who[self.at[t] : self.at[t + 1]]] = self.weight[self.at[t] : self.at[t + 1]]
             order = np.argsort(self.who, kind="stable")
-            term = np.repeat(np.arange(len(sizes)), sizes)[order]
+            term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
             at = np.searchsorted(self.who[order], np.arange(n + 1))
             self._made = Layout(place, matrix, matrix.reshape(len(often), width // BLOCK, BLOCK).max(2), term, self.weight[order], at)
         return self._made
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n[""] = totals
         yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], names=["term", "n1", "n0"])
 
-    counted = written(examples.select("_t", "_y").mapInArrow(presence, "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
+    counted = written(examples.select("_t", "_y").mapInArrow(tidied(presence), "term string, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
     t1, t0 = next(((float(r.n1), float(r.n0)) for r in counted.where("term = ''").collect()), (0.0, 0.0))
     # a term's G-squared grows with its share of toxic examples, so the least number of them that can pass bounds what is sent
     reach = np.arange(1, int(t1) + 1, dtype=float)
@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    found = examples.mapInArrow(counts(vocabulary, 2), f"terms array<int>, counts array<int>, y int, id {kind}").collect()
+    found = examples.mapInArrow(tidied(counts(vocabulary, 2)), f"terms array<int>, counts array<int>, y int, id {kind}").collect()
     found.sort(key=lambda r: (len(r.terms), r.id))  # examples of a block are then alike, and its bounds close
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], names=["t", "df"])
 
     df = np.zeros(len(vocabulary) + 1)
-    for r in texts.select(text_col).mapInArrow(frequencies, "t int, df bigint").groupBy("t").agg(F.sum("df").alias("df")).collect():
+    for r in texts.select(text_col).mapInArrow(tidied(frequencies), "t int, df bigint").groupBy("t").agg(F.sum("df").alias("df")).collect():
         df[r.t] = r.df
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
     index = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
@@ -351,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             votes = [ix.vote(n) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "y"])
 
-    voted = examples.mapInArrow(leave_one_out, "vote double, y int").toArrow()
+    voted = examples.mapInArrow(tidied(leave_one_out), "vote double, y int").toArrow()
     votes, marked = voted.column("vote").to_numpy(), voted.column("y").to_numpy().astype(float)
     order = np.lexsort((marked, votes))  # sums then don't depend on the order of tasks
     index.slope, index.offset = _calibrate(votes[order], marked[order])
@@ -375,7 +375,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             evidence = [",".join(f"{ix.ids[i]}:{s:.4f}:{int(ix.labels[i])}" for s, i in n[:5]) for n in near]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence), *[b.column(2 + i) for i in range(len(carry))]], names=[id_col, "score", "predicted", "evidence", *carry])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(tidied(run), schema)
 
 
 def digest(scored: DataFrame) -> DataFrame:
