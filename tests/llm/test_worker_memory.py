@@ -43,3 +43,12 @@ def test_powers_of_long_chunks_are_right_and_not_kept():
     for i in (0, 1, 65_535, 65_536, 131_073, n - 1):
         assert int(up[i]) == pow(powers.bases[0], i, 1 << 64) and int(up[i]) * int(down[i]) % (1 << 64) == 1
     assert sum(x.nbytes for x in vars(powers).values() if isinstance(x, np.ndarray)) + sum(x.nbytes for x in powers.kept) <= 2 << 20
+
+
+def test_index_takes_vectors_one_by_one():
+    vectors = [{0: 0.6, 2: 0.8}, {1: 1.0}, {2: 0.6, 1: 0.8}]
+    whole, single = [toxicity.Index({"a": 0, "b": 1, "c": 2}, np.ones(3), np.arange(3), np.array([1.0, 0.0, 1.0]), 1.0, 0.0) for _ in range(2)]
+    whole.build(vectors)
+    single.build(v for v in vectors)
+    assert single.who.tolist() == whole.who.tolist() == [0, 1, 2, 0, 2] and single.weight.tolist() == whole.weight.tolist() and single.at.tolist() == [0, 1, 3, 5]
+    assert single.nearest([{1: 1.0}]) == [[(1.0, 1), (0.8, 2)]]

@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,11 +138,15 @@ class Index:
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
-    def build(self, vectors: list[dict[int, float]]) -> None:
-        sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-        who = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
-        term = np.fromiter((t for v in vectors for t in v), np.int64, len(who))
-        weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(who))
+    def build(self, vectors: Iterable[dict[int, float]]) -> None:
+        """Vectors are taken one by one: as dictionaries all of them are ten times as large as their postings."""
+        sizes, terms, weights = array("q"), array("i"), array("d")
+        for v in vectors:
+            sizes.append(len(v))
+            terms.extend(v)
+            weights.extend(v.values())
+        who = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes))
+        term, weight = np.array(terms), np.array(weights)
         order = np.lexsort((who, term))
         self.who, self.weight, self._made = who[order], weight[order], None
         self.at = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
@@ -315,8 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return run
 
     kind = dict(docs.dtypes)[id_col]
-    found = examples.mapInArrow(tidied(counts(vocabulary, 2)), f"terms array<int>, counts array<int>, y int, id {kind}").collect()
-    found.sort(key=lambda r: (len(r.terms), r.id))  # examples of a block are then alike, and its bounds close
+    found = examples.mapInArrow(tidied(counts(vocabulary, 2)), f"terms array<int>, counts array<int>, y int, id {kind}").toArrow()
+    ids, sizes = found.column("id").to_pylist(), found.column("terms").combine_chunks().value_lengths().to_pylist()
+    found = found.take(pa.array(sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i])), pa.int64()))  # examples of a block are then alike, and its bounds close
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = TermCounter(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
@@ -332,15 +338,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         df[r.t] = r.df
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
     index = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
-    vectors, ids, marks = [], [], []
-    for r in found:
-        v = index.weigh(dict(zip(r.terms, r.counts, strict=True)))
-        if v:
-            vectors.append(v)
-            ids.append(r.id)
-            marks.append(r.y)
+    ids, marks = [], []
+
+    def vectors() -> Iterator[dict[int, float]]:
+        for b in found.to_batches():
+            for terms, n, y, x in zip(*b.columns, strict=True):
+                if v := index.weigh(dict(zip(terms.as_py(), n.as_py(), strict=True))):
+                    ids.append(x.as_py())
+                    marks.append(y.as_py())
+                    yield v
+
+    index.build(vectors())
     index.ids, index.labels = np.array(ids), np.array(marks, float)
-    index.build(vectors)
     shared = spark.sparkContext.broadcast(index)
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
