@@ -29,20 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import columns, partitions_for, size_in_bytes, windows_of, words_of
+from turnwise.llm.common import columns, grouped, partitions_for, places_of, size_in_bytes, windows_of, words_of
 
 _M = np.uint64
 _LAST = np.iinfo(np.int64).max
+#: Bytes of text whose words are looked up at once.
+SLICE = 4 << 20
 
 
 def _words(table: pa.Table):
     texts = [t or b"" for t in table.column("_text").cast(pa.binary()).to_pylist()]
     ids = table.column("_id").cast(pa.int64()).fill_null(_LAST).to_numpy()
-    # a slice at a time: the words as objects are larger than their digests
+    # a slice at a time: its distinct words become objects
     hashes, second, text, first, size = [np.zeros(0, _M)], [np.zeros(0, _M)], [np.zeros(0, np.int64)], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= 1 << 20 or i + 1 == len(texts):
+        if size >= SLICE or i + 1 == len(texts):
             h, other, owner = words_of(texts[first : i + 1])
             hashes.append(h)
             second.append(other)
@@ -103,7 +105,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         begin = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
         anchor = (first - begin[np.searchsorted(begin, first, "right") - 1]) % block == 0
         doc = ids[text[first]]
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, anchor, doc = h[order], anchor[order], doc[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         at = np.flatnonzero(new)
@@ -120,7 +122,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         who = table.column("chunk").to_numpy()
         keys, flags = np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got])
         bounds = np.concatenate([[0], np.cumsum([len(k) for k, _ in got])])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         sorted_keys = keys[order]
         at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
         flag = np.bitwise_or.reduceat(flags[order], at)
@@ -143,7 +145,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit.sort()
         first, low = windows_of(hashes, text, block)
         low >>= _M(64 - bits - 38)
-        found = hit[np.minimum(np.searchsorted(hit, low), len(hit) - 1)] == low
+        found = hit[np.minimum(places_of(low, hit), len(hit) - 1)] == low
         total = np.zeros(len(hashes) + 1, np.int32)
         total[first[found] + 1] = 1
         del first, low, found  # arrays by word go as soon as they may: a chunk has a million words
@@ -157,10 +159,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not len(wide):
             return _rows(_SENT, [])
         doc = ids[text[start]]
-        order = np.lexsort((doc, check, wide))
-        wide, check, doc = wide[order], check[order], doc[order]
-        at = np.flatnonzero(np.concatenate([[True], (wide[1:] != wide[:-1]) | (check[1:] != check[:-1])]))
-        wide, check, doc = wide[at], check[at], doc[at]
+        order, at = grouped(wide, check)
+        doc = np.minimum.reduceat(doc[order], at)
+        wide, check = wide[order[at]], check[order[at]]
         names, index = np.unique(doc, return_inverse=True)
         index = index.astype("<u2" if len(names) < 65536 else "<u4")
         buckets, bounds = _by_bucket(wide, bits)
@@ -183,12 +184,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bounds.append(bounds[-1] + n)
         who = table.column("chunk").to_pylist()
         wide, check, doc = np.concatenate(wide), np.concatenate(check), np.concatenate(doc)
-        order = np.lexsort((check, wide))
-        w, c = wide[order], check[order]
-        at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
+        order, at = grouped(wide, check)
         least = np.minimum.reduceat(doc[order], at)
         lost = np.zeros(len(wide), bool)
-        lost[order] = np.repeat(least, np.diff(np.concatenate([at, [len(w)]]))) < doc[order]
+        lost[order] = np.repeat(least, np.diff(np.concatenate([at, [len(order)]]))) < doc[order]
         rows = []
         for i, chunk in enumerate(who):
             g = np.flatnonzero(lost[bounds[i] : bounds[i + 1]]) + bounds[i]
@@ -208,18 +207,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = np.zeros(len(wide), bool)
         if len(wide):
             doc = ids[text[start]]
-            order = np.lexsort((check, wide))
-            w, c, d = wide[order], check[order], doc[order]
-            at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]))
-            gone[order] = np.repeat(np.minimum.reduceat(d, at), np.diff(np.concatenate([at, [len(w)]]))) < d
-            del doc, order, w, c, d, at
+            order, at = grouped(wide, check)
+            d = doc[order]
+            gone[order] = np.repeat(np.minimum.reduceat(d, at), np.diff(np.concatenate([at, [len(d)]]))) < d
+            del doc, order, d, at
             if answers.num_rows:
                 parts_ = [(np.frombuffer(x, "<u8", len(x) // 12), np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8)) for x in answers.column("data").to_pylist()]
                 far, far_check = np.concatenate([p for p, _ in parts_]), np.concatenate([p for _, p in parts_])
                 by = np.argsort(far, kind="stable")
                 far, far_check = far[by], far_check[by]
+                place = places_of(wide, far)
                 for shift in range(int(np.bincount(np.searchsorted(far, far)).max())):  # more than one step only if two windows share a hash of 64 bits
-                    i = np.minimum(np.searchsorted(far, wide) + shift, len(far) - 1)
+                    i = np.minimum(place + shift, len(far) - 1)
                     gone |= (far[i] == wide) & (far_check[i] == check)
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, start[gone], 1)
