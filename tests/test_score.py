@@ -104,3 +104,35 @@ def test_greedy_mapping_is_greedy(spark):
     assert {(r.hyp, r.ref) for r in assign.optimal_mapping(o).collect()} == {("Y", "A"), ("X", "B")}
     ref = turns(spark, [(0, 1, "A"), (1, 2, "B")])
     assert [r.speaker for r in assign.orphan_speakers(ref, assign.greedy_mapping(o)).collect()] == ["B"]
+
+
+def test_ties_of_mappings_have_an_order(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        g = rng.integers(0, 3, (rng.integers(1, 6), rng.integers(1, 6))).astype(float)
+        n = max(g.shape)
+        w = np.zeros((n, n))
+        w[: g.shape[0], : g.shape[1]] = g
+        want = max(permutations(range(n)), key=lambda p: (sum(w[i, p[i]] for i in range(n)), [-x for x in p]))
+        assert assign.first_assignment(g) == list(want[: len(g)])
+    equal = spark.createDataFrame([("r", a, b, 1.0) for a in ("assistant", "system", "user") for b in ("S1", "S2")], "rec_id string, ref string, hyp string, seconds double")
+    found = lambda *o: {r.hyp: r.ref for r in assign.optimal_mapping(equal, *o).collect()}
+    assert found() == {"S1": "assistant", "S2": "system"}
+    assert found(("user", "assistant", "system")) == {"S1": "user", "S2": "assistant"}
+    assert found(("user", "assistant", "system"), ("S0", "S1", "S2")) == {"S1": "assistant", "S2": "system"}
+
+
+def test_der_takes_the_mapping_of_its_sql(spark, tmp_path):
+    """Two mappings of this recording are equally good, but differ in confusion, as a speaker's turns overlap each other."""
+    duckdb = pytest.importorskip("duckdb")
+    from turnwise.plans import queries
+
+    lengths = [35, 139, 21, 226, 39, 70, 47]
+    rows = [(4051, turn, ("user", "assistant")[turn % 2], " ".join(["x"] * n)) for turn, n in enumerate(lengths)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["der_components"]).fetchall()
+    assert sorted(map(tuple, queries.queries()["der_components"](spark, str(tmp_path)).collect())) == sorted(want)

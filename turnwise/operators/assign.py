@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a one-to-one choice with the largest sum, by successive shortest augmenting paths."""
-    turned = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if turned else gain).astype(float)
+def _solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(match, u, v) of the cheapest choice, by successive shortest augmenting paths; at most as many rows as columns.
+
+    ``match`` has the row of each column, counted from 1; u and v are the dual values, at least those of a choice are tight.
+    """
     n, m = cost.shape
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -34,23 +35,69 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             match[j0] = match[back[j0]]
             j0 = back[j0]
-    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return match, u, v
+
+
+def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a one-to-one choice with the largest sum."""
+    turned = gain.shape[0] > gain.shape[1]
+    match = _solve(-(gain.T if turned else gain).astype(float))[0]
+    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, len(match)) if match[j]]
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
 
 
-def optimal_mapping(overlaps: DataFrame) -> DataFrame:
+def first_assignment(gain: np.ndarray) -> list[int]:
+    """The column of each row in the choice with the largest sum; of equal sums the first one, row by row.
+
+    A choice is as good as the best one if and only if all its pairs are tight, so rows take their first tight column from
+    which the rows behind can still be served. A column beyond the table is none.
+    """
+    n = max(gain.shape)
+    cost = np.zeros((n, n))
+    cost[: gain.shape[0], : gain.shape[1]] = -gain
+    match, u, v = _solve(cost)
+    tight = np.abs(cost - u[1:, None] - v[None, 1:]) <= 1e-9 * max(1.0, float(np.abs(cost).max(initial=0.0)))
+    owner = (match[1:] - 1).tolist()
+    tight[owner, range(n)] = True
+    mine = np.argsort(owner).tolist()
+
+    def serve(row: int, fixed: int, seen: set[int]) -> bool:
+        for j in np.flatnonzero(tight[row]).tolist():
+            if j in seen or 0 <= owner[j] < fixed:
+                continue
+            seen.add(j)
+            if owner[j] < 0 or serve(owner[j], fixed, seen):
+                owner[j], mine[row] = row, j
+                return True
+        return False
+
+    for i in range(gain.shape[0]):
+        for j in np.flatnonzero(tight[i, : mine[i]]).tolist():
+            if owner[j] < i:
+                continue
+            moved, left = owner[j], mine[i]
+            owner[j], mine[i], owner[left] = i, j, -1
+            if serve(moved, i + 1, {j}):
+                break
+            owner[j], mine[i], owner[left] = moved, left, i
+    return mine[: gain.shape[0]]
+
+
+def optimal_mapping(overlaps: DataFrame, refs: tuple[str, ...] = (), hyps: tuple[str, ...] = ()) -> DataFrame:
     """(rec_id, hyp, ref, seconds): the one-to-one mapping with the most overlap; pairs without overlap are left out.
 
+    Of equally good mappings it is the one with the first references, from one hypothesis label to the next. Labels are in
+    the order of ``refs`` and ``hyps``, which take part in every recording, then by name.
     The table of a recording has a row for each pair of labels, so a group is small whatever the recording's length.
     """
 
     def solve(table: pd.DataFrame) -> pd.DataFrame:
-        refs, i = np.unique(table["ref"].to_numpy(str), return_inverse=True)
-        hyps, j = np.unique(table["hyp"].to_numpy(str), return_inverse=True)
-        values = np.zeros((len(refs), len(hyps)))
+        order = [[*known, *sorted(set(table[c]) - set(known))] for c, known in (("hyp", hyps), ("ref", refs))]
+        (i, j) = ([{x: k for k, x in enumerate(o)}[x] for x in table[c]] for c, o in zip(("hyp", "ref"), order, strict=True))
+        values = np.zeros((len(order[0]), len(order[1])))
         np.add.at(values, (i, j), table["seconds"].to_numpy())
-        rows = [(table["rec_id"].iloc[0], str(hyps[b]), str(refs[a]), values[a, b]) for a, b in best_assignment(values) if values[a, b] > 0]
-        return pd.DataFrame(rows, columns=["rec_id", "hyp", "ref", "seconds"])
+        chosen = [(a, b) for a, b in enumerate(first_assignment(values)) if b < len(order[1]) and values[a, b] > 0]
+        return pd.DataFrame([(table["rec_id"].iloc[0], order[0][a], order[1][b], values[a, b]) for a, b in chosen], columns=["rec_id", "hyp", "ref", "seconds"])
 
     return overlaps.groupBy("rec_id").applyInPandas(solve, "rec_id string, hyp string, ref string, seconds double")
 

@@ -144,14 +144,15 @@ def active_labels(reference: DataFrame, hypothesis: DataFrame, collar: float = 0
     return held.groupBy("rec_id", "start", "dur").agg(F.collect_list("r").alias("r"), F.collect_list("h").alias("h"))
 
 
-def der(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
+def der(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, refs: tuple[str, ...] = (), hyps: tuple[str, ...] = ()) -> DataFrame:
     """(rec_id, der, missed, false_alarm, confusion, total_reference, speaker_map) of every recording in either table.
 
     Active labels are bags: a label that is active twice counts twice. Without a reference everything is 0 and der NaN.
+    Bags make equally good mappings differ in confusion, so ``refs`` and ``hyps`` say which one counts, see ``optimal_mapping``.
     """
     held = active_labels(reference, hypothesis, collar)
     pairs = held.select("rec_id", "dur", F.explode("r").alias("ref"), "h").select("rec_id", "dur", "ref", F.explode("h").alias("hyp"))
-    mapping = optimal_mapping(pairs.groupBy("rec_id", "ref", "hyp").agg(F.sum("dur").alias("seconds")))
+    mapping = optimal_mapping(pairs.groupBy("rec_id", "ref", "hyp").agg(F.sum("dur").alias("seconds")), refs, hyps)
     names = mapping.groupBy("rec_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hyp", "ref")))).alias("speaker_map"))
     nr, nh = F.size("r"), F.size("h")
     right = F.size(F.filter("h", lambda x: F.coalesce(F.array_contains("r", F.try_element_at("speaker_map", x)), F.lit(False))))
