@@ -35,6 +35,21 @@ def test_linkage_against_the_definition():
             assert got[0] == 0 and all(g <= max(got[:i], default=-1) + 1 for i, g in enumerate(got))
 
 
+def test_linkage_keeps_no_table_of_distances():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    tracemalloc.start()
+    labels = cluster.average_linkage(x, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 8 and 1 < len(set(labels)) < 3000
+    again = cluster.average_linkage(np.concatenate([x, x[:1000]]), num_speakers=5)
+    assert again[3000:] == again[:1000] and len(set(again)) == 5
+    assert len(set(cluster.average_linkage(np.ones((6, 2)), num_speakers=4))) == 4
+
+
 def test_cluster_blobs(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.01, (6, 16)) + np.eye(16)[0], rng.normal(0, 0.01, (6, 16)) + np.eye(16)[1]])
