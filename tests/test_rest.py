@@ -165,6 +165,26 @@ def test_srt_stamp(spark, s, want):
     assert row.a == row.b == want
 
 
+def test_json_is_written_in_pieces(spark, monkeypatch):
+    word = lambda i, t: {"start": i / 7, "end": i / 7 + 0.0005, "text": t, "probability": 1.0 if i % 3 else 2.675}
+    texts = ["a", 'quo"te', "é\n\t\\", "\u2028", "", None, "😀", "x"]
+    rows = [(f"r{r}", i, i / 3, i + 1e-7, None if i == 2 else "A", texts[i], [word(k, texts[(i + k) % 8]) for k in range(i)]) for r in range(2) for i in range(8)]
+    rows.append(("z", 0, None, float("inf"), "B", "", []))
+    want = {}
+    for rec, _, s, e, who, text, words in rows:
+        listed = [{**w, "start": round(w["start"], 3), "end": round(w["end"], 3), "probability": round(w["probability"], 3)} for w in words]
+        want.setdefault(rec, []).append({"speaker": who, "start": round(float("nan") if s is None else s, 3), "end": round(e, 3), "text": text, "words": listed})
+    got = formats.segments_to_json(spark.createDataFrame(rows, schema.SEGMENTS).orderBy(F.desc("seg_idx"))).collect()
+    assert {r.rec_id: r.json for r in got} == {k: json.dumps({"segments": v}, ensure_ascii=False, indent=2) for k, v in want.items()}
+    batch = spark.createDataFrame(rows, schema.SEGMENTS).toArrow().combine_chunks().to_batches()[0]
+    held = []
+    monkeypatch.setattr(formats, "JSON_WORDS", 10)
+    monkeypatch.setattr(formats, "segment_jsons", lambda piece, f=formats.segment_jsons: held.append(piece) or f(piece))
+    texts = [j for out in formats._written([batch]) for j in out.column("j").to_pylist()]
+    monkeypatch.undo()
+    assert len(held) > 5 and max(len(p.column("words").flatten()) for p in held) <= 10 and texts == formats.segment_jsons(batch)
+
+
 def test_formats(spark):
     words = [{"start": 0.0625, "end": 1.5, "text": "é", "probability": 0.98765}]
     seg = spark.createDataFrame([("r", 0, 0.0625, 1.5, "A", "é", words), ("r", 1, 2.0, 2.5, None, "x", [])], schema.SEGMENTS)

@@ -6,7 +6,14 @@ texts come from pandas functions here; queries on times with few binary places c
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,29 +32,57 @@ def round3(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 3))
 
 
-@F.pandas_udf(T.StringType())
-def segment_json(start: pd.Series, end: pd.Series, speaker: pd.Series, text: pd.Series, words: pd.Series) -> pd.Series:
-    import json
+#: Words of a piece of segments that is written at once at most; a longer segment is written alone.
+JSON_WORDS = 1 << 16
 
-    def one(s, e, who, t, ws) -> str:
-        listed = [{"start": round(w["start"], 3), "end": round(w["end"], 3), "text": w["text"], "probability": round(w["probability"], 3)} for w in ws]
-        return json.dumps({"speaker": who, "start": round(s, 3), "end": round(e, 3), "text": t, "words": listed}, ensure_ascii=False)
 
-    return pd.Series([one(*r) for r in zip(start, end, speaker, text, words, strict=True)])
+def _number(x: float) -> str:
+    v = round(x, 3)
+    return repr(v) if math.isfinite(v) else json.dumps(v)
 
 
-def segments_to_json(segments: DataFrame) -> DataFrame:
-    """(rec_id, json): {"segments": [...]}, indented by two, letters as they are."""
-    one = segments.select("rec_id", "seg_idx", segment_json("start", "end", "speaker", "text", "words").alias("j"))
-    listed = one.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "j"))), lambda s: s["j"]).alias("js"))
+def _string(x: str | None) -> str:
+    return "null" if x is None else json.dumps(x, ensure_ascii=False)
+
 
-    @F.pandas_udf(T.StringType())
-    def indented(js: pd.Series) -> pd.Series:
-        import json
+def segment_jsons(segments: pa.RecordBatch) -> list[str]:
+    """Segments as in the file, indented by two from a depth of two. Words are read by column, never as objects."""
+    words = segments.column("words")
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_pylist()
+    listed = iter(zip(*(words.flatten().field(c).to_pylist() for c in ("start", "end", "text", "probability")), strict=True))
+    # nulls of times are NaN
+    start, end = (segments.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end"))
+    out = []
+    for s, e, who, text, n in zip(start, end, segments.column("speaker").to_pylist(), segments.column("text").to_pylist(), sizes, strict=True):
+        ws = [f'        {{\n          "start": {_number(a)},\n          "end": {_number(b)},\n          "text": {_string(t)},\n          "probability": {_number(p)}\n        }}' for a, b, t, p in islice(listed, n)]
+        inner = "[\n" + ",\n".join(ws) + "\n      ]" if ws else "[]"
+        out.append(f'    {{\n      "speaker": {_string(who)},\n      "start": {_number(s)},\n      "end": {_number(e)},\n      "text": {_string(text)},\n      "words": {inner}\n    }}')
+    return out
 
-        return js.map(lambda xs: json.dumps({"segments": [json.loads(x) for x in xs]}, ensure_ascii=False, indent=2))
 
-    return listed.select("rec_id", indented("js").alias("json"))
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_pylist()
+        at = 0
+        while at < len(sizes):
+            end, held = at + 1, sizes[at]
+            while end < len(sizes) and held + sizes[end] <= JSON_WORDS:
+                held += sizes[end]
+                end += 1
+            piece = batch.slice(at, end - at)
+            yield pa.RecordBatch.from_arrays([piece.column("rec_id"), piece.column("seg_idx"), pa.array(segment_jsons(piece), pa.string())], ["rec_id", "seg_idx", "j"])
+            at = end
+
+
+def segments_to_json(segments: DataFrame) -> DataFrame:
+    """(rec_id, json): {"segments": [...]}, indented by two, letters as they are.
+
+    Segments are written in pieces of ``JSON_WORDS`` words, so a worker's memory doesn't grow with the table; a recording's
+    text is put together by the engine.
+    """
+    one = segments.select("rec_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "start", "end", "speaker", "text", "words").mapInArrow(_written, "rec_id string, seg_idx bigint, j string")
+    listed = one.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "j"))), lambda s: s["j"]).alias("js"))
+    return listed.select("rec_id", F.concat(F.lit('{\n  "segments": [\n'), F.array_join("js", ",\n"), F.lit("\n  ]\n}")).alias("json"))
 
 
 def srt_blocks(segments: DataFrame, stamp=srt_timestamp) -> DataFrame:
