@@ -56,6 +56,29 @@ def test_query_rows_meet_smaller_ids(spark, tmp_path):
     assert got == [(0, 3), (0, 50), (0, 75), (0, 100), (50, 3), (50, 75), (50, 100), (100, 3), (100, 75)]
 
 
+def test_query_rows_by_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from turnwise import functions as fn
+    from turnwise.operators import cluster
+
+    rng = random.Random(7)
+    rows = [(rng.choice("xyz"), i, [rng.randrange(-4, 5) / 4 for _ in range(4)]) for i in range(1500)]
+    rows += [("x", 1500, [0.0] * 4), ("x", 1550, None), ("x", 1551, [1.0, None, 0.0, 0.0]), ("x", 1600, [1.0]), ("x", 1601, []), (None, 1650, [1.0] * 4), ("x", -50, [1.0] * 4), ("x", None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "rec_id string, idx bigint, vec array<float>")
+    w = v.select("rec_id", F.col("idx").alias("b"), F.col("vec").alias("w"))
+    pairs = v.where("idx % 50 = 0").join(w, "rec_id").where("idx < b OR idx > b AND b % 50 <> 0")
+    want = pairs.select("idx", "b", F.round(fn.cosine_distance(F.col("vec"), F.col("w")), 5))
+    sizes = lambda bs: [len(ids) // 8 for b in bs for ids in b.column("ids").to_pylist()]
+    assert sorted(map(tuple, cluster.cosine_to_queries(v, 50, 5).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    table = v.where("rec_id IS NOT NULL AND idx IS NOT NULL").toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 100)
+    assert sum(sizes(cluster._blocks(iter(table)))) == 1506 and max(sizes(cluster._blocks(iter(table)))) == 100
+    halves = [k / 64 + s for k in range(-70, 200) for s in (0.0, 1e-12, -1e-12)] + [float("nan"), float("inf"), -1e-9, 2.675, 1.000005]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i int, x double").select("i", F.round("x", 5).alias("r"))
+    assert [str(r.r) for r in df.orderBy("i").collect()] == [str(x) for x in cluster.round_half_up(np.array(halves), 5).tolist()]
+
+
 def test_long_texts_make_long_recordings(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "x" * 5000), (1, 1, "assistant", "y" * 10)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     (m,) = queries.queries()["build_mixture"](spark, str(tmp_path)).collect()
