@@ -35,6 +35,38 @@ def test_alignment_against_brute_force(monkeypatch):
     assert [tuple(x) for x in score.edit_counts([tuple(np.array(x, np.int32) for x in p) for p in long]).tolist()] == [edits(*p) for p in long]
 
 
+def test_bands_hold_the_alignment(monkeypatch):
+    """A first band that is too narrow is widened by the cost that it found; a wide enough one isn't left."""
+    rng = random.Random(11)
+    pairs = []
+    for n in range(0, 160, 4):
+        ref = [rng.randrange(5) for _ in range(n)]
+        kept = [w for w in ref if rng.random() < 0.86]
+        pairs += [(ref, [w if rng.random() < 0.9 else 9 for w in kept]), (kept, ref), (ref, ref[n // 2 :] + ref[: n // 2]), (ref, [])]
+    arrays = [(np.array(r, np.int32), np.array(h, np.int32)) for r, h in pairs]
+    want = [edits(r, h) for r, h in pairs]
+    for guess in ((0, 1000), (1, 20), (16, 18)):
+        monkeypatch.setattr(score, "GUESS", guess)
+        assert [tuple(x) for x in score.edit_counts(arrays).tolist()] == want
+    limits = []
+    monkeypatch.setattr(score, "_align", lambda ps, limit, f=score._align: limits.append(len(ps)) or f(ps, limit))
+    monkeypatch.setattr(score, "GUESS", (0, 1000))
+    score.edit_counts(arrays)
+    assert len(pairs) < sum(limits) <= 2 * len(pairs)
+
+
+def test_words_by_letter(spark):
+    import re
+
+    from turnwise import functions as fn
+
+    texts = ["".join(chr(c) for c in range(a, a + 4096) if not 0xD800 <= c < 0xE000) for a in range(0, 0x11000, 4096)] + ["it's 'a' B'c'd x''y 9'z"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", fn.F.lower("t").alias("low"), fn.normalize_words(fn.F.col("t")).alias("w")).collect()
+    for r in got:
+        inner = re.sub(r"(?<![a-z])'|'(?![a-z])", " ", re.sub(r"[^a-z0-9' ]+", " ", r.low))
+        assert r.w == inner.split()
+
+
 def test_error_rates_are_of_whole_texts(spark, tmp_path):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([0, 5, 20, 21, 90, 300])]

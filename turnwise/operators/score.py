@@ -13,41 +13,56 @@ from turnwise.operators.assign import optimal_mapping
 from turnwise.operators.timeline import collar_holes, elementary_intervals, stab
 
 
-#: Words of a batch of alignments at most; a longer pair is aligned alone.
+#: Cells of a diagonal of a batch of alignments at most; a longer pair is aligned alone.
 ALIGN_WORDS = 1 << 15
+#: Half the cost beyond the difference of the lengths that the first band allows: so many words, or this part of the longer text.
+GUESS = (16, 18)
 
 
 def edit_counts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """(pairs, 3): substitutions, deletions, insertions of pairs of number arrays (reference, hypothesis).
 
     The edit table by its diagonals, for pairs of like lengths at once; three diagonals are held, so memory grows with the
-    length alone. A cell is one integer: cost, rank of the step, substitutions, deletions. The least one is the cheapest
-    step and, of equal costs, a match goes before a substitution, a deletion, an insertion.
+    length alone. A cell is one integer: cost, rank of the step, deletions; the lengths give the rest. The least one is the
+    cheapest step and, of equal costs, a match goes before a substitution, a deletion, an insertion.
+
+    Alignments of at most some cost stay in a band of the table. The first band is a guess; where the cost that is found is
+    beyond the band's, it is the most that the pair can cost, and its band is the second and last one.
     """
+    n, m = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
     out = np.zeros((len(pairs), 3), np.int64)
-    order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
-    at = 0
-    while at < len(order):
-        end, most = at, 0
-        while end < len(order) and (end == at or max(most, *map(len, pairs[order[end]])) * (end - at + 1) <= ALIGN_WORDS):
-            most = max(most, *map(len, pairs[order[end]]))
-            end += 1
-        group = order[at:end]
-        out[group] = _align([pairs[p] for p in group])
-        at = end
+    limit = np.abs(n - m) + 2 * np.maximum(GUESS[0], np.maximum(n, m) // GUESS[1])
+    order = np.lexsort((m, n)).tolist()
+    while order:
+        # a diagonal has half as many cells as the band has diagonals, and no more than words
+        cells = np.minimum(limit // 2 + 1, np.maximum(n, m)).tolist()
+        at, again = 0, []
+        while at < len(order):
+            end, most = at, 0
+            while end < len(order) and (end == at or max(most, cells[order[end]]) * (end - at + 1) <= ALIGN_WORDS):
+                most = max(most, cells[order[end]])
+                end += 1
+            group = order[at:end]
+            out[group] = _align([pairs[p] for p in group], limit[group])
+            again += [p for p in group if out[p].sum() > limit[p]]
+            at = end
+        limit[again] = out[again].sum(1)
+        order = again
     return out
 
 
-def _align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _align(pairs: list[tuple[np.ndarray, np.ndarray]], limit: np.ndarray) -> np.ndarray:
     n, m = np.array([len(r) for r, _ in pairs]), np.array([len(h) for _, h in pairs])
     rows, cols = int(n.max()), int(m.max())
-    bits, kind = (10, np.uint32) if max(rows, cols) < 1000 else (20, np.uint64)
-    if max(rows, cols) + 2 >= 1 << bits:
+    below, above = int(((limit + n - m) // 2).max()) + 1, int(((limit - n + m) // 2).max()) + 1
+    bits, kind = (15, np.uint32) if max(rows, cols) < 32_000 else (31, np.uint64)
+    if max(rows, cols) + 3 >= 1 << bits:
         raise ValueError(f"a text of {max(rows, cols)} words is too long to be aligned")
-    deletion, rank, cost = kind(1), 2 * bits, 2 * bits + 2
-    substituted = kind((1 << bits) + (1 << cost))
+    rank, cost = bits, bits + 2
+    substituted = kind(1 << cost)
     deleted, inserted = kind((1 << cost) + (1 << rank) + 1), kind((1 << cost) + (2 << rank))
-    clear = kind(((1 << (2 * bits + 2 + bits)) - 1) ^ (3 << rank))
+    clear = kind(((1 << (cost + bits)) - 1) ^ (3 << rank))
+    outside = kind(((1 << bits) - 2) << cost)
     ref, turned = np.full((rows, len(pairs)), -1, np.int32), np.full((cols, len(pairs)), -2, np.int32)
     for g, (r, h) in enumerate(pairs):
         ref[: len(r), g] = r
@@ -60,26 +75,29 @@ def _align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     last = np.zeros(len(pairs), kind)
     for k in range(rows + cols + 1):
         now, one, two = cells[k % 3], cells[(k - 1) % 3], cells[(k - 2) % 3]
-        if k <= cols:
-            now[0] = kind(k << cost)
-        if k <= rows:
-            now[k] = kind((k << cost) + k * int(deletion))
-        lo, hi = max(1, k - cols), min(rows, k - 1) + 1
+        lo, hi = max(1, k - cols, (k - above + 1) // 2), min(rows, k - 1, (k + below) // 2) + 1
         if lo < hi:
-            here, other = now[lo:hi], step[: hi - lo]
-            np.not_equal(ref[lo - 1 : hi - 1], turned[cols - k + lo : cols - k + hi], out=differs[: hi - lo])
-            np.multiply(differs[: hi - lo], substituted, out=here)
+            here, other, unlike = now[lo:hi], step[: hi - lo], differs[: hi - lo]
+            np.not_equal(ref[lo - 1 : hi - 1], turned[cols - k + lo : cols - k + hi], out=unlike)
+            np.multiply(unlike, substituted, out=here)
             here += two[lo - 1 : hi - 1]
             np.add(one[lo - 1 : hi - 1], deleted, out=other)
             np.minimum(here, other, out=here)
             np.add(one[lo:hi], inserted, out=other)
             np.minimum(here, other, out=here)
             here &= clear
+            now[lo - 1] = outside
+            if hi <= rows:
+                now[hi] = outside
+        if k <= cols:
+            now[0] = kind(k << cost)
+        if k <= rows:
+            now[k] = kind((k << cost) + k)
         for g in ends.get(k, ()):
             last[g] = now[n[g], g]
     v = last.astype(np.int64)
-    s, d = (v >> bits) & ((1 << bits) - 1), v & ((1 << bits) - 1)
-    return np.stack([s, d, (v >> cost) - s - d], 1)
+    c, d = v >> cost, v & ((1 << bits) - 1)
+    return np.stack([c - 2 * d + n - m, d, d - n + m], 1)
 
 
 def wer_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
